@@ -38,6 +38,9 @@ def money_text(amount: Column) -> Column:
     ``$1.00`` (the double lies below 1.005) and 0.125 gives ``$0.13``. The
     product with 100 is taken together with its rounding error (Dekker), which
     keeps the whole computation in generated code.
+
+    From 1e21 the text has an exponent and the digits the JVM prints, which
+    before Java 19 are not always the fewest possible.
     """
     size = F.abs(amount)
     product = size * F.lit(_CENTS)

@@ -47,15 +47,18 @@ QUERIES: dict[str, Query] = {}
 A, B = t.RULES.label_columns
 
 
-def query(function: Query) -> Query:
-    """Register a query under its name; it runs with UTC days and stamps."""
+def query(name: str) -> Callable[[Query], Query]:
+    """Register a query under ``name``; it runs with UTC days and stamps."""
 
-    @wraps(function)
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return function(pin_utc(spark), folder)
+    def register(function: Query) -> Query:
+        @wraps(function)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return function(pin_utc(spark), folder)
 
-    QUERIES[function.__name__] = run
-    return run
+        QUERIES[name] = run
+        return run
+
+    return register
 
 
 def _state(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,8 +94,8 @@ def _uploads(spark: SparkSession, folder: str, *, two_headers: bool = True) -> s
     return t.write_uploads(t.raw_ledger(spark, folder), inbox, two_headers=two_headers)
 
 
-@query
-def csv_scan(spark, folder):
+@query("csv_scan")
+def _csv_scan(spark, folder):
     rows = read_ledger(spark, _uploads(spark, folder))
     return rows.select(
         F.col("Date").alias("date"),
@@ -102,8 +105,8 @@ def csv_scan(spark, folder):
     )
 
 
-@query
-def csv_text_parse(spark, folder):
+@query("csv_text_parse")
+def _csv_text_parse(spark, folder):
     quoted = F.when(F.contains("Amount", F.lit(",")), F.concat(F.lit('"'), "Amount", F.lit('"')))
     line = F.concat_ws(",", "Date", F.coalesce(quoted, "Amount"), "Description", "Owner")
     lines = t.raw_ledger(spark, folder).select("row_key", line.alias("line"))
@@ -116,8 +119,8 @@ def csv_text_parse(spark, folder):
     )
 
 
-@query
-def csv_provenance(spark, folder):
+@query("csv_provenance")
+def _csv_provenance(spark, folder):
     rows = read_ledger(spark, _uploads(spark, folder))
     per_file = rows.groupBy("source_path", "source_file").count()
     return per_file.groupBy(t.upload_of(F.col("source_path")).alias("upload")).agg(
@@ -126,8 +129,8 @@ def csv_provenance(spark, folder):
     )
 
 
-@query
-def row_position(spark, folder):
+@query("row_position")
+def _row_position(spark, folder):
     raw = op.required_fields(read_ledger(spark, _uploads(spark, folder)))
     placed = with_row_position(raw, scratch_folder(spark, "landing"))
     return placed.select(
@@ -138,8 +141,8 @@ def row_position(spark, folder):
     )
 
 
-@query
-def daily_pickup(spark, folder):
+@query("daily_pickup")
+def _daily_pickup(spark, folder):
     inbox = _uploads(spark, folder, two_headers=False)
     work = scratch_folder(spark, "pickup")
     run_daily_pickup(ledger_stream(spark, inbox), work).awaitTermination()
@@ -153,17 +156,14 @@ def daily_pickup(spark, folder):
     )
 
 
-@query
-def latest_snapshot_rows(spark, folder):
+@query("latest_snapshot")
+def _latest_snapshot(spark, folder):
     history = t.transactions(spark, folder).withColumn("batch", F.substring("date", 1, 4))
     return latest_snapshot(history, "batch").select("batch", "tx_id", "amount", "description")
 
 
-QUERIES["latest_snapshot"] = QUERIES.pop("latest_snapshot_rows")
-
-
-@query
-def batch_stamp(spark, folder):
+@query("batch_stamp")
+def _batch_stamp(spark, folder):
     rows = t.orders(spark, folder)
     batch = F.year("o_orderdate").cast("bigint").alias("batch")
     uploaded = F.max("o_orderdate").cast("timestamp")
@@ -180,15 +180,15 @@ def _state_texts(spark: SparkSession, folder: str) -> DataFrame:
     return lines.withColumn("value", F.when(F.col(t.KEY) % 11 == 0, cut).otherwise(F.col("value")))
 
 
-@query
-def state_from_json(spark, folder):
+@query("state_from_json")
+def _state_from_json(spark, folder):
     return parse_state(_state_texts(spark, folder), "value", "tx_key").select(
         "tx_key", "reviewer", "assignment", iso_stamp(F.col("ts")).alias("stamp")
     )
 
 
-@query
-def state_to_json(spark, folder):
+@query("state_to_json")
+def _state_to_json(spark, folder):
     latest = op.latest_assignment(t.submissions(spark, folder), t.KEY)
     return state_lines(latest, t.KEY).select(t.KEY, F.col("value").alias("state"))
 
@@ -196,27 +196,27 @@ def state_to_json(spark, folder):
 # --- projections, filters, scalar functions ----------------------------------
 
 
-@query
-def required_fields(spark, folder):
+@query("required_fields")
+def _required_fields(spark, folder):
     kept = op.required_fields(t.raw_ledger(spark, folder))
     return kept.select("row_key", F.col("Date").alias("date"), F.col("Amount").alias("amount_text"))
 
 
-@query
-def tx_id(spark, folder):
+@query("tx_id")
+def _tx_id(spark, folder):
     rows = t.transactions(spark, folder).select("row_idx", "date")
     return op.with_tx_id(rows).select("row_idx", "tx_id")
 
 
-@query
-def tx_projection(spark, folder):
+@query("tx_projection")
+def _tx_projection(spark, folder):
     raw = t.raw_ledger(spark, folder, spoilt=False).withColumnRenamed("row_key", "row_idx")
     fields = op.with_tx_id(op.transaction_fields(raw))
     return fields.select("tx_id", "row_idx", "date", "amount", "description")
 
 
-@query
-def default_text(spark, folder):
+@query("default_text")
+def _default_text(spark, folder):
     return t.raw_ledger(spark, folder).select(
         "row_key",
         or_default(F.col("Description"), "Unknown").alias("description"),
@@ -224,35 +224,32 @@ def default_text(spark, folder):
     )
 
 
-@query
-def amount_parse(spark, folder):
+@query("amount_parse")
+def _amount_parse(spark, folder):
     raw = t.raw_ledger(spark, folder)
     return raw.select("row_key", leading_number(F.col("Amount")).alias("amount"))
 
 
-@query
-def amount_format(spark, folder):
+@query("amount_format")
+def _amount_format(spark, folder):
     tx = t.transactions(spark, folder)
     return tx.select("row_idx", money_text(F.col("amount")).alias("amount_text"))
 
 
-@query
-def iso_stamp_of_events(spark, folder):
+@query("iso_stamp")
+def _iso_stamp(spark, folder):
     stamp = iso_stamp(F.col("ts").cast("timestamp"))
     return t.events(spark, folder).select("event_id", stamp.alias("stamp"))
 
 
-QUERIES["iso_stamp"] = QUERIES.pop("iso_stamp_of_events")
-
-
-@query
-def hours_since_batch(spark, folder):
+@query("hours_since_batch")
+def _hours_since_batch(spark, folder):
     hours = hours_since(F.col("o_orderdate").cast("date"), instant(t.ORDERS_AS_OF))
     return t.orders(spark, folder).select("o_orderkey", hours.alias("hours"))
 
 
-@query
-def conflict_phase_of_orders(spark, folder):
+@query("conflict_phase")
+def _conflict_phase(spark, folder):
     day = F.col("o_orderdate").cast("date")
     now = instant(t.ORDERS_AS_OF)
     return t.orders(spark, folder).select(
@@ -262,20 +259,17 @@ def conflict_phase_of_orders(spark, folder):
     )
 
 
-QUERIES["conflict_phase"] = QUERIES.pop("conflict_phase_of_orders")
-
-
 # --- labels ------------------------------------------------------------------
 
 
-@query
-def roster_filter(spark, folder):
+@query("roster_filter")
+def _roster_filter(spark, folder):
     kept = op.roster_filter(t.submissions(spark, folder), t.RULES)
     return kept.select("seq", t.KEY, "reviewer", "assignment")
 
 
-@query
-def option_domain(spark, folder):
+@query("option_domain")
+def _option_domain(spark, folder):
     labels = t.submissions(spark, folder)
     accepted = op.accepted_label(t.NARROW_RULES).alias("accepted")
     return labels.select("seq", t.KEY, "assignment", accepted)
@@ -285,21 +279,21 @@ def _latest_columns(latest: DataFrame) -> DataFrame:
     return latest.select(t.KEY, "reviewer", "assignment", iso_stamp("ts").alias("stamp"), "seq")
 
 
-@query
-def latest_assignment(spark, folder):
+@query("latest_assignment")
+def _latest_assignment(spark, folder):
     return _latest_columns(op.latest_assignment(t.submissions(spark, folder), t.KEY))
 
 
-@query
-def merge_state(spark, folder):
+@query("merge_state")
+def _merge_state(spark, folder):
     labels = t.submissions(spark, folder)
     early = F.col("ts") < instant(t.MERGE_SPLIT)
     base = op.latest_assignment(labels.where(early), t.KEY)
     return _latest_columns(op.merge_state(base, labels.where(~early), t.KEY))
 
 
-@query
-def last_updated(spark, folder):
+@query("last_updated")
+def _last_updated(spark, folder):
     newest = op.last_updated(t.submissions(spark, folder), t.KEY)
     return newest.select(t.KEY, iso_stamp("last_updated").alias("last_updated"))
 
@@ -307,8 +301,8 @@ def last_updated(spark, folder):
 # --- status and counts -------------------------------------------------------
 
 
-@query
-def tx_with_state(spark, folder):
+@query("tx_with_state")
+def _tx_with_state(spark, folder):
     labels = t.submissions(spark, folder)
     state = op.review_state(labels, t.RULES, t.KEY, last_updated=True)
     joined = op.with_labels(t.transactions(spark, folder), state, t.KEY)
@@ -322,45 +316,45 @@ def tx_with_state(spark, folder):
     )
 
 
-@query
-def conflicts(spark, folder):
+@query("conflicts")
+def _conflicts(spark, folder):
     found = op.conflicts(_review(spark, folder))
     return found.select("tx_id", F.col(A).alias("label_a"), F.col(B).alias("label_b"))
 
 
-@query
-def fully_submitted(spark, folder):
+@query("fully_submitted")
+def _fully_submitted(spark, folder):
     return op.fully_submitted(_review(spark, folder)).select("tx_id", "conflict")
 
 
-@query
-def tx_status(spark, folder):
+@query("tx_status")
+def _tx_status(spark, folder):
     return _review(spark, folder).select("tx_id", "status")
 
 
-@query
-def gated_conflicts(spark, folder):
+@query("gated_conflicts")
+def _gated_conflicts(spark, folder):
     return _review_at_both(spark, folder).select(_as_of(), "tx_id", "conflict", "status")
 
 
-@query
-def review_stats(spark, folder):
+@query("review_stats")
+def _review_stats(spark, folder):
     return _stats(spark, folder)
 
 
-@query
-def review_summary(spark, folder):
+@query("review_summary")
+def _review_summary(spark, folder):
     return op.review_summary(_stats(spark, folder))
 
 
-@query
-def conflict_alert(spark, folder):
+@query("conflict_alert")
+def _conflict_alert(spark, folder):
     phase = conflict_phase(F.lit(t.CSV_DATE), instant(t.GATE_OPEN), t.RULES.grace_hours)
     return op.conflict_alert(_stats(spark, folder), phase)
 
 
-@query
-def remaining_by_reviewer(spark, folder):
+@query("remaining_by_reviewer")
+def _remaining_by_reviewer(spark, folder):
     counts = op.remaining_by_reviewer(_review_at_both(spark, folder), t.RULES, "as_of")
     return counts.select(_as_of(), "reviewer", "remaining")
 
@@ -368,40 +362,40 @@ def remaining_by_reviewer(spark, folder):
 # --- views -------------------------------------------------------------------
 
 
-@query
-def backlog(spark, folder):
+@query("backlog")
+def _backlog(spark, folder):
     ordered = op.backlog(_review(spark, folder))
     return ordered.select("rank_key", "row_idx", "tx_id", "status", "amount", "description")
 
 
-@query
-def own_submission(spark, folder):
+@query("own_submission")
+def _own_submission(spark, folder):
     tx, labels = t.transactions(spark, folder), t.submissions(spark, folder)
     return op.own_submission(tx, labels, t.RULES, t.VIEWER, t.KEY).select("tx_id", "own")
 
 
-@query
-def next_action(spark, folder):
+@query("next_action")
+def _next_action(spark, folder):
     tx, labels = t.transactions(spark, folder), t.submissions(spark, folder)
     own = op.own_submission(tx, labels, t.RULES, t.VIEWER, t.KEY)
     return own.select("tx_id", op.next_action(F.col("own")).alias("action"))
 
 
-@query
-def unassigned_by_reviewer(spark, folder):
+@query("unassigned_by_reviewer")
+def _unassigned_by_reviewer(spark, folder):
     tx, labels = t.transactions(spark, folder), t.submissions(spark, folder)
     open_rows = op.unassigned_by_reviewer(tx, labels, t.RULES, t.VIEWER, t.KEY)
     return open_rows.select("tx_id", "amount", "description")
 
 
-@query
-def tx_reviewer_matrix(spark, folder):
+@query("tx_reviewer_matrix")
+def _tx_reviewer_matrix(spark, folder):
     joined = op.with_labels(t.transactions(spark, folder), _state(spark, folder), t.KEY)
     return op.tx_reviewer_matrix(joined, t.RULES).select("tx_id", "reviewer", "assignment")
 
 
-@query
-def visible_assignments(spark, folder):
+@query("visible_assignments")
+def _visible_assignments(spark, folder):
     seen = op.visible_assignments(_review_at_both(spark, folder), t.RULES, t.VIEWER)
     return seen.select(_as_of(), "tx_id", "reviewer", "shown")
 
@@ -415,8 +409,8 @@ def _label_stream(spark: SparkSession, folder: str) -> DataFrame:
     return t.as_submissions(files.parquet(folder))
 
 
-@query
-def stream_state(spark, folder):
+@query("stream_state")
+def _stream_state(spark, folder):
     work = scratch_folder(spark, "live")
     run_live_state(_label_stream(spark, folder), t.RULES, work, t.KEY).awaitTermination()
     return read_state(spark, work, t.KEY).select(
@@ -427,8 +421,8 @@ def stream_state(spark, folder):
     )
 
 
-@query
-def stream_stats(spark, folder):
+@query("stream_stats")
+def _stream_stats(spark, folder):
     work = scratch_folder(spark, "live")
     gate = grace_over(F.lit(t.CSV_DATE), instant(t.GATE_OPEN), t.RULES.grace_hours)
     labels, tx = _label_stream(spark, folder), t.transactions(spark, folder)
