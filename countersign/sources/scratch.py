@@ -18,7 +18,7 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     Only a local session without that setting gets a folder of this machine,
     which is dropped when the interpreter ends.
     """
-    shared = spark.conf.get(CHECKPOINT_DIR, None)
+    shared = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return f"{shared.rstrip('/')}/countersign-{purpose}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):

@@ -41,9 +41,8 @@ def start_batches(
     copied when the run starts and put back after.
     """
     spark = stream.sparkSession
-    chosen = spark.conf.get(_PROVIDER, _ROCKSDB)
-    spark_default = chosen.endswith("HDFSBackedStateStoreProvider")
-    if spark_default:
+    unset = spark.conf.get(_PROVIDER, None) is None
+    if unset:
         spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
         return (
@@ -54,5 +53,5 @@ def start_batches(
             .start()
         )
     finally:
-        if spark_default:
+        if unset:
             spark.conf.unset(_PROVIDER)

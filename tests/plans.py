@@ -3,11 +3,10 @@
 import re
 
 
-def plan_of(frame, *, run=False):
-    """The physical plan as text; with ``run``, the final plan after a full run."""
-    if run:
-        frame._jdf.queryExecution().toRdd().count()
-    return frame._jdf.queryExecution().executedPlan().toString()
+def plan_of(frame):
+    """The physical plan as text; the final one if the frame has been run."""
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[0]
 
 
 def exchanges(frame):

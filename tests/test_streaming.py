@@ -1,0 +1,147 @@
+"""Streams give what the batch jobs give, over several runs."""
+
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from countersign import ReviewRules
+from countersign import operators as op
+from countersign.functions import iso_stamp
+from countersign.sources import latest_snapshot
+from countersign.streaming import (
+    ledger_stream,
+    read_history,
+    read_state,
+    read_stats,
+    run_daily_pickup,
+    run_live_state,
+    run_live_stats,
+)
+from countersign.streaming.runs import BATCH
+from tests import model
+
+RULES = ReviewRules.of("A", "B")
+START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+LABELS = "tx_id string, reviewer string, assignment string, ts timestamp, seq bigint"
+KEYS = [f"2024-01-01-{i}" for i in range(25)]
+
+
+def inbox_of(spark, folder, events):
+    """Append events to the inbox as one more file."""
+    frame = spark.createDataFrame(events, LABELS).coalesce(1)
+    frame.write.mode("append").parquet(f"{folder}/in")
+
+
+def stream_of(spark, folder, files=1):
+    reader = spark.readStream.schema(LABELS).option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{folder}/in")
+
+
+def state_rows(frame):
+    columns = ("tx_id", "label_0", "label_1", iso_stamp("last_updated"))
+    return sorted((tuple(r) for r in frame.select(*columns).collect()), key=repr)
+
+
+def transactions(spark):
+    return spark.createDataFrame([(k,) for k in KEYS], "tx_id string")
+
+
+def test_live_state_equals_batch(spark, tmp_path):
+    rng = random.Random(7)
+    events = model.random_events(rng, KEYS, ["A", "B", "guest"], START, 240)
+    for part in range(4):  # shuffled, so labels arrive late
+        inbox_of(spark, tmp_path, events[part::4])
+    run = run_live_state(stream_of(spark, tmp_path), RULES, str(tmp_path))
+    run.awaitTermination()
+    assert len(run.recentProgress) >= 4
+    labels = spark.createDataFrame(events, LABELS)
+    batch = op.review_state(labels, RULES, last_updated=True)
+    assert state_rows(read_state(spark, str(tmp_path))) == state_rows(batch)
+
+
+def test_later_runs_go_on_and_write_changes_only(spark, tmp_path):
+    first = [(k, "A", "A", START, i) for i, k in enumerate(KEYS)]
+    later = [(KEYS[3], "B", "B", START + timedelta(hours=1), 100)]
+    late = [(KEYS[4], "A", "Split", START - timedelta(hours=1), 101)]
+    for events in (first, later, late):
+        inbox_of(spark, tmp_path, events)
+        run_live_state(stream_of(spark, tmp_path), RULES, str(tmp_path)).awaitTermination()
+    run_live_state(stream_of(spark, tmp_path), RULES, str(tmp_path)).awaitTermination()
+    log = spark.read.parquet(f"{tmp_path}/state")
+    sizes = {r[BATCH]: r["count"] for r in log.groupBy(BATCH).count().collect()}
+    assert [sizes[n] for n in sorted(sizes) if sizes[n]][:2] == [25, 1]
+    state = {r.tx_id: (r.label_0, r.label_1) for r in read_state(spark, str(tmp_path)).collect()}
+    assert state[KEYS[3]] == ("A", "B")
+    assert state[KEYS[4]] == ("A", None)  # the older label arrived last and lost
+    assert len(state) == 25
+
+
+def test_state_before_any_label(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    run_live_state(stream_of(spark, tmp_path), RULES, str(tmp_path)).awaitTermination()
+    assert read_state(spark, str(tmp_path)).isEmpty()
+
+
+def test_state_store_setting_is_put_back(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    assert spark.conf.get(name, None) is None
+    inbox_of(spark, tmp_path, [("x", "A", "A", START, 1)])
+    run_live_state(stream_of(spark, tmp_path), RULES, str(tmp_path)).awaitTermination()
+    assert spark.conf.get(name, None) is None
+    assert "RocksDBStateStoreProvider" in "".join(
+        p.read_text() for p in (tmp_path / "checkpoint" / "offsets").iterdir()
+        if not p.name.startswith(".")
+    )
+
+
+@pytest.mark.parametrize("gate", [True, False])
+def test_live_stats_equal_batch_after_each_run(spark, tmp_path, gate):
+    rng = random.Random(3)
+    events = model.random_events(rng, KEYS, ["A", "B", "guest"], START, 200)
+    tx, folder = transactions(spark), str(tmp_path)
+    for upto in (120, 200):
+        inbox_of(spark, tmp_path, events[:120] if upto == 120 else events[120:])
+        labels = stream_of(spark, tmp_path, files=5)
+        run_live_stats(labels, tx, RULES, F.lit(gate), folder).awaitTermination()
+        state, _ = model.replay(events[:upto])
+        expected = model.counts(state, KEYS, RULES.roster, gate)
+        assert tuple(read_stats(spark, folder).head()) == expected
+
+
+def test_daily_pickup(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+
+    def put(name, *rows):
+        lines = ["Date,Amount,Description,Owner", *rows]
+        (inbox / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+
+    def pick_up():
+        run_daily_pickup(ledger_stream(spark, str(inbox)), str(tmp_path)).awaitTermination()
+        columns = ("source_file", "row_idx", "tx_id", "amount", "description")
+        history = read_history(spark, str(tmp_path))
+        return history, sorted(tuple(r) for r in history.select(*columns).collect())
+
+    put("mon.csv", "2024-01-01,1.50,a,X", ",9,no date,X", "2024-01-02,$2,,X")
+    put("notes.txt", "2024-01-01,1,ignored,X")
+    _, monday = pick_up()
+    assert monday == [
+        ("mon.csv", 0, "2024-01-01-0", 1.5, "a"),
+        ("mon.csv", 1, "2024-01-02-1", 0.0, "Unknown"),
+    ]
+    put("tue.csv", "2024-01-03,7,b,X")
+    history, both = pick_up()
+    assert both == [*monday, ("tue.csv", 0, "2024-01-03-0", 7.0, "b")]
+    assert history.where("csv_date = date_format(uploaded_at, 'yyyy-MM-dd')").count() == 3
+    assert latest_snapshot(history, "uploaded_at").head().source_file == "tue.csv"
+    assert pick_up()[1] == both  # nothing new
+
+
+def test_daily_pickup_rejects_another_header(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "a.csv").write_text("Amount,Date,Description,Owner\n1,2024-01-01,a,X\n")
+    with pytest.raises(Exception, match="header"):
+        run_daily_pickup(ledger_stream(spark, str(inbox)), str(tmp_path)).awaitTermination()
