@@ -85,21 +85,18 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
 def _spoilt_amount(two: Column, key: Column) -> Column:
     """Two-decimal text, bent in a different way for each ``key % 8``."""
     kind = key % 8
-    return (
-        F.when(kind == 0, F.lit(""))
-        .when(kind == 1, F.concat(two, F.lit("abc")))
-        .when(kind == 2, F.concat(F.lit("$"), two))
-        .when(kind == 3, F.concat(F.substring(two, 1, 1), F.lit(","), F.substr(two, F.lit(2))))
-        .when(kind == 4, F.concat(F.lit(" "), two))
-        .when(kind == 5, F.concat(F.replace(two, F.lit("."), F.lit("")), F.lit("e-2")))
-        .otherwise(two)
+    before = F.when(kind == 2, F.lit("$")).when(kind == 4, F.lit(" ")).otherwise(F.lit(""))
+    after = F.when(kind == 1, F.lit("abc")).when(kind == 5, F.lit("e-2")).otherwise(F.lit(""))
+    body = F.when(kind == 3, F.overlay(two, F.lit(","), F.lit(2), F.lit(0))).otherwise(
+        F.replace(two, F.when(kind == 5, F.lit(".")).otherwise(F.lit("")), F.lit(""))
     )
+    return F.when(kind == 0, F.lit("")).otherwise(F.concat(before, body, after))
 
 
 def raw_ledger(spark: SparkSession, folder: str, *, spoilt: bool = True) -> DataFrame:
     """``orders`` as a ledger: ``row_key``, ``upload`` and the four text columns."""
     key = F.col("o_orderkey")
-    two = F.format_string("%.2f", F.col("o_totalprice"))
+    two = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     part = F.expr(f"o_orderkey div {KEYS_PER_UPLOAD}").cast("string")
     description = F.col("o_orderpriority")
     owner = F.lit("Unknown")

@@ -141,7 +141,7 @@ def parse_ledger_lines(
         (F.col("_row").getField(c) if c in names else F.lit(None).cast("string")).alias(c)
         for c in columns
     ]
-    body = (F.length(F.trim(F.col(line))) > 0) & (F.col(line) != F.lit(header))
+    body = ~F.trim(F.col(line)).isin("", header.strip())
     return rows.where(body).withColumn("_row", parsed).select(*kept, *fields)
 
 

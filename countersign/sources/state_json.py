@@ -9,22 +9,29 @@ from countersign.functions import iso_stamp
 
 # Fixed value: the key that shares the inner map with the reviewers.
 STAMP_KEY = "lastUpdated"
-_STATE_TYPE = "map<string,map<string,string>>"
+_TEXTS = "map<string,string>"
+_STRICT = {"allowSingleQuotes": "false"}
 
 
 def parse_state(rows: DataFrame, text: str = "value", key: str = "tx_id") -> DataFrame:
     """State texts as the long table ``(key, reviewer, assignment, ts, seq)``.
 
-    A text that is not valid JSON stands for an empty state. NULL and empty
-    labels are kept apart. ``ts`` is the stamp of the whole entry, ``seq`` is 0:
-    the text does not tell the order of the labels of one transaction.
+    A text that is not valid JSON stands for an empty state, and an entry that
+    is no object for one without labels; entries are parsed one by one, so such
+    an entry leaves the others alone. NULL and empty labels are kept apart.
+    ``ts`` is the stamp of the whole entry, ``seq`` is 0: the text does not tell
+    the order of the labels of one transaction.
     """
-    entries = rows.select(F.explode(F.from_json(text, _STATE_TYPE)).alias(key, "_entry"))
-    stamp = F.try_to_timestamp(F.col("_entry").getItem(STAMP_KEY))
-    labels = entries.select(
-        key, stamp.alias("ts"), F.explode("_entry").alias("reviewer", "assignment")
+    entries = rows.select(F.explode(F.from_json(text, _TEXTS, _STRICT)).alias(key, "_text"))
+    labels = entries.select(key, F.from_json("_text", _TEXTS, _STRICT).alias("_entry"))
+    stamp = F.try_to_timestamp(F.col("_entry")[STAMP_KEY])
+    # The outer form keeps Spark from testing the parsed map in a filter of its
+    # own, which would parse each entry three times. Rows without a reviewer
+    # fall to the filter below.
+    exploded = labels.select(
+        key, stamp.alias("ts"), F.explode_outer("_entry").alias("reviewer", "assignment")
     )
-    return labels.where(F.col("reviewer") != STAMP_KEY).select(
+    return exploded.where(F.col("reviewer") != STAMP_KEY).select(
         key, "reviewer", "assignment", "ts", F.lit(0).cast("bigint").alias("seq")
     )
 

@@ -232,6 +232,9 @@ STATES = [
     None,
     '{"t-4": {}}',
     '{"t-5": null}',
+    '{"t-6": {"A": "Split"}, "t-7": {"A": ',
+    "{'t-8': {'A': 'Split'}}",
+    '{"t-9": "no object", "t-10": {"A": "B"}}',
 ]
 
 
@@ -243,6 +246,7 @@ def test_state_text(spark):
         ("t-1", "B"): None,
         ("t-2", "guest"): "",
         ("t-2", "A"): "A",
+        ("t-10", "A"): "B",
     }
     assert got["t-1", "A"][1] is not None and got["t-2", "A"][1] is None
 
