@@ -426,5 +426,5 @@ def _stream_stats(spark, folder):
     work = scratch_folder(spark, "live")
     gate = grace_over(F.lit(t.CSV_DATE), instant(t.GATE_OPEN), t.RULES.grace_hours)
     labels, tx = _label_stream(spark, folder), t.transactions(spark, folder)
-    run_live_stats(labels, tx, t.RULES, gate, work, t.KEY).awaitTermination()
-    return read_stats(spark, work)
+    run_live_stats(labels, tx, t.RULES, work, t.KEY).awaitTermination()
+    return read_stats(spark, work, gate)

@@ -2,6 +2,7 @@
 
 from countersign.streaming.labels import (
     live_state,
+    read_remaining,
     read_state,
     read_stats,
     run_live_state,
@@ -13,6 +14,7 @@ __all__ = [
     "ledger_stream",
     "live_state",
     "read_history",
+    "read_remaining",
     "read_state",
     "read_stats",
     "run_daily_pickup",

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from countersign.functions import is_filled
 from countersign.operators.assignments import review_state
-from countersign.operators.stats import review_stats
-from countersign.operators.status import review_flags
+from countersign.operators.status import all_submitted, labels_differ
 from countersign.rules import ReviewRules
 from countersign.streaming.runs import BATCH, ensure_log, newest_per_key, start_batches
 
 STATE_LOG = "state"
-STATS_LOG = "stats"
+COUNT_LOG = "counts"
+CHANGE = "change"
 
 
 def live_state(stream: DataFrame, rules: ReviewRules, key: str = "tx_id") -> DataFrame:
@@ -51,7 +52,7 @@ def run_live_state(
     """
     state = live_state(stream, rules, key)
     log = f"{folder}/{STATE_LOG}"
-    ensure_log(stream.sparkSession, log, state.schema)
+    ensure_log(stream.sparkSession.createDataFrame([], state.schema), log)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log}/{BATCH}={number}")
@@ -61,30 +62,105 @@ def run_live_state(
     return start_batches(state, store, f"{folder}/checkpoint", mode="update")
 
 
-def read_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts after the newest batch."""
-    log = spark.read.parquet(f"{folder}/{STATS_LOG}")
-    return log.where(F.col(BATCH) == log.agg(F.max(BATCH)).scalar()).drop(BATCH)
+def _tallies(rules: ReviewRules) -> dict[str, Column]:
+    """What a transaction adds to the counts. All of it is a sum, so a changed
+    transaction costs its new share minus its old one; and none of it knows the
+    gate, which is applied when the counts are read."""
+    differ = labels_differ(rules)
+    tests = {
+        "submitted": all_submitted(rules),
+        "differing": differ,
+        "submitted_differing": all_submitted(rules) & differ,
+    }
+    for column in rules.label_columns:
+        tests[f"{column}_filled"] = is_filled(F.col(column))
+        tests[f"{column}_filled_differing"] = is_filled(F.col(column)) & differ
+    return {name: test.cast("bigint") for name, test in tests.items()}
 
 
 def run_live_stats(
     stream: DataFrame,
     transactions: DataFrame,
     rules: ReviewRules,
-    gate: Column,
     folder: str,
     key: str = "tx_id",
 ) -> StreamingQuery:
-    """:func:`run_live_state`, and the counts after each batch.
+    """:func:`run_live_state`, and the counts brought up to date by each batch.
 
     A second aggregation cannot follow the first one in the same update-mode
-    stream, so the batch job runs over the state log: two flags per labelled
-    transaction joined with the transactions' keys.
+    stream, so a batch job takes the difference the changed transactions make.
+    The few changed keys are the build side of both joins. They are read from
+    files, so Spark knows their size: below its broadcast threshold neither the
+    log nor the transactions are shuffled, above it both joins shuffle.
+    ``transactions`` have unique keys and belong to ``folder``: a new snapshot
+    gets a new folder.
     """
+    tallies = _tallies(rules)
+    counts = f"{folder}/{COUNT_LOG}"
+    total = F.count(F.lit(1)).alias("total")
+    zeros = [F.lit(0).cast("bigint").alias(name) for name in tallies]
+    ensure_log(transactions.agg(total).select("total", *zeros), counts)
 
     def count(spark: SparkSession, number: int) -> None:
-        flags = review_flags(transactions, read_state(spark, folder, key), rules, gate, key)
-        stats = review_stats(flags)
-        stats.write.mode("overwrite").parquet(f"{folder}/{STATS_LOG}/{BATCH}={number}")
+        log = f"{folder}/{STATE_LOG}"
+        new = spark.read.parquet(f"{log}/{BATCH}={number}")
+        earlier = spark.read.parquet(log).where(F.col(BATCH) < number)
+        old = newest_per_key(earlier.join(new.select(key), key, "left_semi"), key)
+
+        def share(state: DataFrame, sign: int) -> DataFrame:
+            parts = [(value * F.lit(sign)).alias(name) for name, value in tallies.items()]
+            return state.select(key, *parts)
+
+        change = share(new, 1).unionByName(share(old, -1))
+        change.write.mode("overwrite").parquet(f"{folder}/{CHANGE}")
+        known = transactions.select(key).join(spark.read.parquet(f"{folder}/{CHANGE}"), key)
+        sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in tallies]
+        delta = known.agg(F.lit(0).cast("bigint").alias("total"), *sums)
+        before = _newest_counts(spark, folder, number)
+        summed = before.unionByName(delta).agg(*(F.sum(c).alias(c) for c in before.columns))
+        summed.write.mode("overwrite").parquet(f"{counts}/{BATCH}={number}")
 
     return run_live_state(stream, rules, folder, key, after=count)
+
+
+def _newest_counts(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The counts of the newest batch, or of the newest one before a batch."""
+    log = spark.read.parquet(f"{folder}/{COUNT_LOG}")
+    if before is not None:
+        log = log.where(F.col(BATCH) < before)
+    return log.where(F.col(BATCH) == log.agg(F.max(BATCH)).scalar()).drop(BATCH)
+
+
+def read_stats(spark: SparkSession, folder: str, gate: Column) -> DataFrame:
+    """``total, assigned, conflicts, pending`` after the newest batch.
+
+    ``gate`` tells whether disagreements count as conflicts by now.
+    """
+    shown = F.when(gate, F.lit(1)).otherwise(F.lit(0))
+    assigned = F.col("submitted") - shown * F.col("submitted_differing")
+    return _newest_counts(spark, folder).select(
+        "total",
+        assigned.alias("assigned"),
+        (shown * F.col("differing")).alias("conflicts"),
+        (F.col("total") - assigned).alias("pending"),
+    )
+
+
+def read_remaining(
+    spark: SparkSession, folder: str, rules: ReviewRules, gate: Column
+) -> DataFrame:
+    """``reviewer, remaining`` after the newest batch."""
+    shown = F.when(gate, F.lit(1)).otherwise(F.lit(0))
+    pairs = [
+        F.struct(
+            F.lit(name).alias("reviewer"),
+            (
+                F.col("total")
+                - F.col(f"{column}_filled")
+                + shown * F.col(f"{column}_filled_differing")
+            ).alias("remaining"),
+        )
+        for name, column in zip(rules.roster, rules.label_columns)
+    ]
+    turned = _newest_counts(spark, folder).select(F.explode(F.array(*pairs)).alias("_pair"))
+    return turned.select("_pair.*")

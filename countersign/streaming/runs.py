@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 BATCH = "batch_id"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def ensure_log(spark: SparkSession, log: str, schema: StructType) -> None:
-    """Make ``log`` readable before its first batch: an empty batch -1."""
-    empty = spark.createDataFrame([], schema)
-    empty.write.mode("ignore").parquet(f"{log}/{BATCH}=-1")
+def ensure_log(start: DataFrame, log: str) -> None:
+    """Make ``log`` readable before its first batch: ``start`` is batch -1."""
+    start.write.mode("ignore").parquet(f"{log}/{BATCH}=-1")
 
 
 def newest_per_key(log: DataFrame, key: str) -> DataFrame:

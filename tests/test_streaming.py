@@ -13,6 +13,7 @@ from countersign.sources import latest_snapshot
 from countersign.streaming import (
     ledger_stream,
     read_history,
+    read_remaining,
     read_state,
     read_stats,
     run_daily_pickup,
@@ -96,18 +97,28 @@ def test_state_store_setting_is_put_back(spark, tmp_path):
     )
 
 
-@pytest.mark.parametrize("gate", [True, False])
-def test_live_stats_equal_batch_after_each_run(spark, tmp_path, gate):
+@pytest.mark.parametrize("roster", [("A", "B"), ("A", "B", "C")])
+def test_live_counts_equal_batch_after_each_run(spark, tmp_path, roster):
     rng = random.Random(3)
-    events = model.random_events(rng, KEYS, ["A", "B", "guest"], START, 200)
+    rules = ReviewRules.of(*roster)
+    events = model.random_events(rng, KEYS, [*roster, "guest"], START, 240)
     tx, folder = transactions(spark), str(tmp_path)
-    for upto in (120, 200):
-        inbox_of(spark, tmp_path, events[:120] if upto == 120 else events[120:])
-        labels = stream_of(spark, tmp_path, files=5)
-        run_live_stats(labels, tx, RULES, F.lit(gate), folder).awaitTermination()
-        state, _ = model.replay(events[:upto])
-        expected = model.counts(state, KEYS, RULES.roster, gate)
-        assert tuple(read_stats(spark, folder).head()) == expected
+    (tmp_path / "in").mkdir()
+    parts = [[], events[:90], events[90:150], events[150:]]
+    seen = []
+    for part in parts:
+        for piece in (part[::2], part[1::2]):  # two batches per run
+            if piece:
+                inbox_of(spark, tmp_path, piece)
+        seen += part
+        run_live_stats(stream_of(spark, tmp_path), tx, rules, folder).awaitTermination()
+        state, _ = model.replay(seen)
+        for gate in (True, False):
+            expected = model.counts(state, KEYS, roster, gate)
+            assert tuple(read_stats(spark, folder, F.lit(gate)).head()) == expected
+            left = read_remaining(spark, folder, rules, F.lit(gate)).collect()
+            expected = model.remaining(state, KEYS, roster, gate)
+            assert {r.reviewer: r.remaining for r in left} == expected
 
 
 def test_daily_pickup(spark, tmp_path):
