@@ -10,6 +10,7 @@ from countersign.operators.assignments import (
     review_state,
     reviewer_labels,
     roster_filter,
+    submit,
 )
 from countersign.operators.stats import (
     conflict_alert,
@@ -65,6 +66,7 @@ __all__ = [
     "review_summary",
     "reviewer_labels",
     "roster_filter",
+    "submit",
     "transaction_fields",
     "tx_reviewer_matrix",
     "unassigned_by_reviewer",

@@ -7,9 +7,12 @@ function works on ``key``, the transaction's id or a surrogate for it.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from countersign.functions import instant
 from countersign.rules import ReviewRules
 
 
@@ -21,6 +24,33 @@ def _version(condition: Column | None = None) -> Column:
     return version if condition is None else F.when(condition, version)
 
 
+def submit(
+    chosen: DataFrame,
+    rules: ReviewRules,
+    reviewer: str,
+    label: str,
+    at: datetime,
+    seq: int,
+    key: str = "tx_id",
+) -> DataFrame:
+    """One reviewer's label for the ``chosen`` transactions, as rows to append.
+
+    A first label and an edit are the same thing: labels are never updated in
+    place, so what other reviewers gave stays as it is. ``seq`` grows from one
+    submission to the next and decides between equal times.
+    """
+    rules.position(reviewer)
+    if label not in rules.options:
+        raise ValueError(f"{label!r} is not one of {rules.options}")
+    return chosen.select(
+        key,
+        F.lit(reviewer).alias("reviewer"),
+        F.lit(label).alias("assignment"),
+        instant(at).alias("ts"),
+        F.lit(seq).cast("bigint").alias("seq"),
+    )
+
+
 def roster_filter(submissions: DataFrame, rules: ReviewRules) -> DataFrame:
     """Only labels given by reviewers of the roster."""
     return submissions.where(F.col("reviewer").isin(*rules.roster))

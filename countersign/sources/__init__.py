@@ -9,6 +9,7 @@ from countersign.sources.ledgers import (
 from countersign.sources.positions import with_row_position
 from countersign.sources.scratch import scratch_folder
 from countersign.sources.snapshots import (
+    append_submissions,
     latest_snapshot,
     replace_snapshot,
     save_bucketed,
@@ -18,6 +19,7 @@ from countersign.sources.state_json import parse_state, save_state, state_lines
 
 __all__ = [
     "LEDGER_COLUMNS",
+    "append_submissions",
     "latest_snapshot",
     "ledger_from_text",
     "parse_ledger_lines",

@@ -103,8 +103,8 @@ def _files_by_header(
     paths = sorted(_literal_path(uri) for uri in listed)
 
     def header_of(path: str) -> str | None:
-        lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-        first = lines.head(1)
+        start = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+        first = start.where(F.length(F.trim("value")) > 0).head(1)
         return first[0].value.lstrip("\ufeff").rstrip("\r") if first else None
 
     groups: dict[str, list[str]] = defaultdict(list)

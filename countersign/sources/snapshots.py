@@ -15,6 +15,11 @@ def replace_snapshot(transactions: DataFrame, path: str) -> None:
     transactions.write.mode("overwrite").parquet(path)
 
 
+def append_submissions(submissions: DataFrame, path: str) -> None:
+    """Add labels to the stored ones."""
+    submissions.write.mode("append").parquet(path)
+
+
 def save_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
     """Replace ``table``, hashed by ``key``.
 

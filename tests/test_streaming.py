@@ -104,7 +104,7 @@ def test_live_counts_equal_batch_after_each_run(spark, tmp_path, roster):
     events = model.random_events(rng, KEYS, [*roster, "guest"], START, 240)
     tx, folder = transactions(spark), str(tmp_path)
     (tmp_path / "in").mkdir()
-    parts = [[], events[:90], events[90:150], events[150:]]
+    parts = [[], events[:120], events[120:]]
     seen = []
     for part in parts:
         for piece in (part[::2], part[1::2]):  # two batches per run
