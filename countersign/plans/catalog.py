@@ -405,8 +405,9 @@ def _visible_assignments(spark, folder):
 
 def _label_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = t.events(spark, folder).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-    return t.as_submissions(files.parquet(folder))
+    # A pattern admits both a file and a folder of files of that name.
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+    return t.as_submissions(rows)
 
 
 @query("stream_state")

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from countersign.plans.catalog import QUERIES
@@ -32,9 +33,20 @@ SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double"
 SQL_TYPES["boolean"] = "BOOLEAN"
 
 
+@pytest.fixture(scope="module")
+def scattered(spark, tmp_path_factory):
+    """The same tables as folders of several files, rows in no order."""
+    folder = str(tmp_path_factory.mktemp("scattered"))
+    for name in ("orders", "events"):
+        rows = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        rows.orderBy(F.rand(5)).repartition(5).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("layout", ["one file", "scattered"])
 @pytest.mark.parametrize("name", QUERIES)
-def test_query_equals_sql(spark, sql, name):
-    frame = QUERIES[name](spark, SMALL)
+def test_query_equals_sql(spark, sql, scattered, name, layout):
+    frame = QUERIES[name](spark, SMALL if layout == "one file" else scattered)
     expected = sql.sql(ORACLE[name])
     types = {column: SQL_TYPES[kind] for column, kind in frame.dtypes}
     assert types == dict(zip(expected.columns, map(str, expected.types)))
