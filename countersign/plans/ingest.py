@@ -21,9 +21,11 @@ def load_transactions(
 ) -> DataFrame:
     """Scan, drop incomplete rows, number, convert and stamp an upload.
 
-    ``scan`` are options of :func:`countersign.sources.read_ledger`. The rows
+    An upload is one ledger: if ``source`` holds several files, they are its
+    parts in order of their paths, and ids stay unique. ``scan`` are options of :func:`countersign.sources.read_ledger`. The rows
     are written once to ``landing``, a folder all executors share.
     """
     raw = required_fields(read_ledger(spark, source, **scan))
-    placed = with_row_position(raw, landing or scratch_folder(spark, "landing"))
+    folder = landing or scratch_folder(spark, "landing")
+    placed = with_row_position(raw, folder, across_files=True)
     return stamp_batch(with_tx_id(transaction_fields(placed, owner=owner)), uploaded_at)

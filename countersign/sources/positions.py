@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countersign.sources.ledgers import SOURCE_BLOCK, SOURCE_PATH
@@ -18,10 +18,14 @@ def with_row_position(
     landing: str,
     *,
     position: str = "row_idx",
+    across_files: bool = False,
     broadcast_up_to: int = BROADCAST_OFFSETS_BYTES,
 ) -> DataFrame:
     """Add the zero-based place of each row within its file.
 
+    With ``across_files`` the files count as parts of one, in order of their
+    paths, and the numbers go on from one to the next.
+
     ``rows`` come from a scan that kept ``source_path`` and ``source_block``;
     rows filtered out before do not count. They are written once to
     ``landing``, numbered as they stream by: one task reads a block from start
@@ -39,11 +43,14 @@ def with_row_position(
     counts = landed.groupBy(SOURCE_PATH, SOURCE_BLOCK).agg(
         F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    before = Window.partitionBy(SOURCE_PATH).orderBy(SOURCE_BLOCK).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")
-    counts.select(SOURCE_PATH, SOURCE_BLOCK, shift.alias("_shift")).write.mode(
+    shift = F.col("_before") - F.col("_first")
+    within = counts.withColumn("_before", _sum_before("_rows", SOURCE_BLOCK, SOURCE_PATH))
+    if across_files:
+        totals = counts.groupBy(SOURCE_PATH).agg(F.sum("_rows").alias("_total"))
+        starts = totals.select(SOURCE_PATH, _sum_before("_total", SOURCE_PATH).alias("_start"))
+        within = within.join(starts, SOURCE_PATH)
+        shift = shift + F.col("_start")
+    within.select(SOURCE_PATH, SOURCE_BLOCK, shift.alias("_shift")).write.mode(
         "overwrite"
     ).parquet(f"{landing}/offsets")
     offsets = spark.read.parquet(f"{landing}/offsets")
@@ -57,3 +64,11 @@ def with_row_position(
     return placed.select(
         *rows.columns, (F.col("_seq") + F.col("_shift")).cast("bigint").alias(position)
     )
+
+
+def _sum_before(count: str, order: str, *within: str) -> Column:
+    """Sum of ``count`` over the earlier rows. Without ``within`` this runs in
+    one task; it is meant for one row per block or per file, not for data."""
+    window = Window.partitionBy(*within).orderBy(order)
+    earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(count).over(earlier), F.lit(0))

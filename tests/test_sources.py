@@ -190,6 +190,26 @@ def test_row_position(spark, setting, tmp_path, broadcast_up_to, two_headers):
     assert len(moved) == (0 if broadcast_up_to else 2)
 
 
+def test_row_position_across_files(spark, setting, tmp_path):
+    within = blocks(tmp_path, SIZES)
+    setting("spark.sql.files.maxPartitionBytes", "9000")
+    raw = op.required_fields(read_ledger(spark, str(tmp_path / "in")))
+    placed = with_row_position(raw, str(tmp_path / "land"), across_files=True)
+    got = {(r.source_file, r.Description): r.row_idx for r in placed.collect()}
+    kept = {name: sum(key[0] == name for key in within) for name in SIZES}
+    starts = {"a.csv": 0, "b.csv": kept["a.csv"], "c.csv": kept["a.csv"] + kept["b.csv"]}
+    assert got == {key: starts[key[0]] + place for key, place in within.items()}
+    assert sorted(got.values()) == list(range(len(within)))
+
+
+def test_upload_in_parts_has_unique_ids(spark, tmp_path):
+    put(tmp_path, "up/part-1.csv", "Date,Amount\n2024-01-01,1\n2024-01-01,\n2024-01-01,2\n")
+    put(tmp_path, "up/part-2.csv", "Amount,Date\n3,2024-01-01\n")
+    tx = load_transactions(spark, str(tmp_path / "up"), datetime(2024, 1, 2))
+    got = rows_of(tx, "tx_id", "amount")
+    assert got == [("2024-01-01-0", 1.0), ("2024-01-01-1", 2.0), ("2024-01-01-2", 3.0)]
+
+
 def test_row_position_survives_another_split(spark, setting, tmp_path):
     """The numbers are fixed by the landed rows, however those are read back."""
     expected = blocks(tmp_path, SIZES)
