@@ -22,8 +22,9 @@ def load_transactions(
     """Scan, drop incomplete rows, number, convert and stamp an upload.
 
     An upload is one ledger: if ``source`` holds several files, they are its
-    parts in order of their paths, and ids stay unique. ``scan`` are options of :func:`countersign.sources.read_ledger`. The rows
-    are written once to ``landing``, a folder all executors share.
+    parts in order of their paths, and ids stay unique. ``scan`` are options of
+    :func:`countersign.sources.read_ledger`. The rows are written once to
+    ``landing``, a folder all executors share.
     """
     raw = required_fields(read_ledger(spark, source, **scan))
     folder = landing or scratch_folder(spark, "landing")

@@ -121,7 +121,10 @@ def write_uploads(raw: DataFrame, folder: str, *, two_headers: bool) -> str:
     odd = F.substring("upload", 4, 1).cast("int") % 2 == 1
     parts = [(raw, FORWARD_HEADER, "one")]
     if two_headers:
-        parts = [(raw.where(~odd), FORWARD_HEADER, "even"), (raw.where(odd), SHUFFLED_HEADER, "odd")]
+        parts = [
+            (raw.where(~odd), FORWARD_HEADER, "even"),
+            (raw.where(odd), SHUFFLED_HEADER, "odd"),
+        ]
     for rows, header, name in parts:
         (
             rows.select("upload", "row_key", *header)

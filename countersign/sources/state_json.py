@@ -47,8 +47,10 @@ def state_lines(latest: DataFrame, key: str = "tx_id") -> DataFrame:
         F.sort_array(F.collect_list(F.struct("reviewer", "assignment"))).alias("_labels"),
         F.max("ts").alias("_ts"),
     )
-    stamp = F.array(F.struct(F.lit(STAMP_KEY).alias("reviewer"), iso_stamp("_ts").alias("assignment")))
-    entry = F.map_from_entries(F.concat("_labels", stamp))
+    stamp = F.struct(
+        F.lit(STAMP_KEY).alias("reviewer"), iso_stamp(F.col("_ts")).alias("assignment")
+    )
+    entry = F.map_from_entries(F.concat("_labels", F.array(stamp)))
     state = F.create_map(F.col(key).cast("string"), entry)
     return grouped.select(key, F.to_json(state, {"ignoreNullFields": "false"}).alias("value"))
 

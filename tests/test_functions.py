@@ -50,8 +50,8 @@ AMOUNTS = [
     ("-0", 0.0),
     ("+3", 3.0),
     ("\t\n 7", 7.0),
-    (" ﻿8", 8.0),
-    (" 9", 9.0),
+    ("\u00a0\ufeff8", 8.0),
+    ("\u2028\u3000 9", 9.0),
     ("1_000", 1.0),
     ("1e999", float("inf")),
     ("1e-999", 0.0),
@@ -65,7 +65,8 @@ def values(spark, items, kind, *columns):
 
 
 def test_leading_number(spark):
-    got = [v for (v,) in values(spark, [a for a, _ in AMOUNTS], "string", leading_number(F.col("x")))]
+    texts = [text for text, _ in AMOUNTS]
+    got = [v for (v,) in values(spark, texts, "string", leading_number(F.col("x")))]
     assert got == [n for _, n in AMOUNTS]
     assert all(str(v) != "-0.0" for v in got)
 

@@ -43,7 +43,8 @@ def shuffled(setting):
 
 def test_stats_move_labels_once(shuffled, tables):
     tx, labels = tables
-    flags = op.review_flags(tx, op.review_state(labels, RULES, "row_idx"), RULES, F.lit(True), "row_idx")
+    state = op.review_state(labels, RULES, "row_idx")
+    flags = op.review_flags(tx, state, RULES, F.lit(True), "row_idx")
     stats = op.review_stats(flags)
     # Labels by key, transaction keys by key, partial counts to one task.
     assert sorted(exchanges(stats)) == ["SinglePartition", "hashpartitioning", "hashpartitioning"]

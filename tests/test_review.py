@@ -123,7 +123,8 @@ def test_submit_and_edit(spark, tmp_path):
     for chosen, who, label, at, seq in steps:
         append_submissions(op.submit(chosen, RULES, who, label, at, seq), path)
     got = op.review(tx, spark.read.parquet(path), RULES, DATE, OPEN)
-    assert [r.status for r in got.orderBy("row_idx").collect()] == ["ASSIGNED", "CONFLICT", "PENDING"]
+    statuses = [r.status for r in got.orderBy("row_idx").collect()]
+    assert statuses == ["ASSIGNED", "CONFLICT", "PENDING"]
     append_submissions(op.submit(tx.where("row_idx = 1"), RULES, "A", "Other", later, 3), path)
     got = op.review(tx, spark.read.parquet(path), RULES, DATE, OPEN)
     assert got.where("row_idx = 1").head().status == "ASSIGNED"
@@ -173,7 +174,8 @@ def test_orphans_are_kept_but_never_counted(spark):
 def test_new_file_inherits_labels_by_position(spark):
     labels = labels_of(spark, ("2024-01-02-1", "A", "Split"), ("2024-01-02-1", "B", "Split"))
     rows = [(0, "2024-01-01", "new"), (1, "2024-01-02", "also new")]
-    tx = op.with_tx_id(spark.createDataFrame(rows, "row_idx bigint, date string, description string"))
+    rows = spark.createDataFrame(rows, "row_idx bigint, date string, description string")
+    tx = op.with_tx_id(rows)
     got = {r.description: r.status for r in op.review(tx, labels, RULES, DATE, OPEN).collect()}
     assert got == {"new": "PENDING", "also new": "ASSIGNED"}
 

@@ -103,7 +103,7 @@ def test_text_details(spark, tmp_path):
     put(
         tmp_path,
         "a.csv",
-        "﻿Date,Amount,Description\r\n"
+        "\ufeffDate,Amount,Description\r\n"
         '2024-01-01,"1,468.00","say ""hi"", ok"\r\n'
         "\r\n   \r\n"
         '2024-01-02, 5,""\r\n'
