@@ -56,5 +56,9 @@ def state_lines(latest: DataFrame, key: str = "tx_id") -> DataFrame:
 
 
 def save_state(latest: DataFrame, path: str, key: str = "tx_id") -> None:
-    """Replace the state stored at ``path``, one JSON line per transaction."""
+    """Replace the state stored at ``path``, one JSON line per transaction.
+
+    Spark refuses to overwrite a folder that ``latest`` is read from: write the
+    merged state next to the old one.
+    """
     state_lines(latest, key).select("value").write.mode("overwrite").text(path)

@@ -121,6 +121,25 @@ def test_live_counts_equal_batch_after_each_run(spark, tmp_path, roster):
             assert {r.reviewer: r.remaining for r in left} == expected
 
 
+def test_repeated_batch_replaces_itself(spark, tmp_path):
+    """A run that dies after its output but before its commit does it all again."""
+    rng = random.Random(11)
+    events = model.random_events(rng, KEYS, ["A", "B"], START, 120)
+    tx, folder = transactions(spark), str(tmp_path)
+    for part in (events[:70], events[70:]):
+        inbox_of(spark, tmp_path, part)
+        run_live_stats(stream_of(spark, tmp_path), tx, RULES, folder).awaitTermination()
+    before = state_rows(read_state(spark, folder))
+    commits = sorted(p for p in (tmp_path / "checkpoint" / "commits").iterdir() if p.name.isdigit())
+    for path in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        path.unlink(missing_ok=True)
+    run_live_stats(stream_of(spark, tmp_path), tx, RULES, folder).awaitTermination()
+    state, _ = model.replay(events)
+    assert state_rows(read_state(spark, folder)) == before
+    expected = model.counts(state, KEYS, RULES.roster, True)
+    assert tuple(read_stats(spark, folder, F.lit(True)).head()) == expected
+
+
 def test_daily_pickup(spark, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
