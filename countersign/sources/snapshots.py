@@ -21,12 +21,15 @@ def append_submissions(submissions: DataFrame, path: str) -> None:
 
 
 def save_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Replace ``table``, hashed by ``key``.
+    """Replace ``table``, hashed by ``key``, one file per bucket.
 
-    Transactions and labels saved with the same key and bucket count join and
-    aggregate by that key without moving a row.
+    For tables with few rows per key: transactions, latest labels, review state.
+    Saved with the same key and bucket count they join without moving a row. A
+    raw label log is no such table: a bucket is read by one task, and a
+    transaction that holds a third of all labels would be all its own.
     """
-    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    placed = rows.repartition(buckets, key)
+    placed.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
 def stamp_batch(transactions: DataFrame, uploaded_at: datetime) -> DataFrame:

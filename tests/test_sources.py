@@ -325,21 +325,21 @@ def test_latest_snapshot_reads_one_partition(spark, tmp_path):
 def test_bucketed_tables_join_in_place(spark, setting, tmp_path):
     setting("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path}'")
-    for name, rows in [("bucketed.tx", 900), ("bucketed.labels", 500)]:
-        frame = spark.range(rows).select(
-            F.col("id").alias("row_idx"),
-            F.lit("A").alias("reviewer"),
-            F.lit("Split").alias("assignment"),
-            F.lit("2024-01-01").cast("timestamp").alias("ts"),
-            F.col("id").alias("seq"),
-        )
-        save_bucketed(frame, name, "row_idx", 4)
     rules = ReviewRules.of("A", "B")
-    state = op.review_state(spark.table("bucketed.labels"), rules, "row_idx")
-    tx = spark.table("bucketed.tx").select("row_idx")
-    joined = op.with_labels(tx, state, "row_idx")
-    assert exchanges(joined) == []
-    assert joined.where("label_0 = 'Split'").count() == 500
+    labels = spark.range(1500).select(
+        (F.col("id") % 500).alias("row_idx"),
+        F.lit("A").alias("reviewer"),
+        F.concat(F.lit("L"), F.col("id").cast("string")).alias("assignment"),
+        F.lit("2024-01-01").cast("timestamp").alias("ts"),
+        F.col("id").alias("seq"),
+    )
+    save_bucketed(spark.range(900).select(F.col("id").alias("row_idx")), "bucketed.tx", "row_idx", 4)
+    save_bucketed(op.review_state(labels, rules, "row_idx"), "bucketed.state", "row_idx", 4)
+    assert len(list((tmp_path / "state").glob("*.parquet"))) == 4
+    joined = op.with_labels(spark.table("bucketed.tx"), spark.table("bucketed.state"), "row_idx")
+    assert exchanges(joined) == [] and "SortMergeJoin" in plan_of(joined)
+    assert joined.count() == 900
+    assert joined.where("label_0 = concat('L', row_idx + 1000)").count() == 500
     spark.sql("DROP DATABASE bucketed CASCADE")
 
 
