@@ -64,7 +64,9 @@ def values(spark, items, kind, *columns):
     return [tuple(r)[1:] for r in rows.select("i", *columns).orderBy("i").collect()]
 
 
-def test_leading_number(spark):
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_leading_number(spark, setting, ansi):
+    setting("spark.sql.ansi.enabled", ansi)
     texts = [text for text, _ in AMOUNTS]
     got = [v for (v,) in values(spark, texts, "string", leading_number(F.col("x")))]
     assert got == [n for _, n in AMOUNTS]

@@ -333,7 +333,8 @@ def test_bucketed_tables_join_in_place(spark, setting, tmp_path):
         F.lit("2024-01-01").cast("timestamp").alias("ts"),
         F.col("id").alias("seq"),
     )
-    save_bucketed(spark.range(900).select(F.col("id").alias("row_idx")), "bucketed.tx", "row_idx", 4)
+    tx = spark.range(900).select(F.col("id").alias("row_idx"))
+    save_bucketed(tx, "bucketed.tx", "row_idx", 4)
     save_bucketed(op.review_state(labels, rules, "row_idx"), "bucketed.state", "row_idx", 4)
     assert len(list((tmp_path / "state").glob("*.parquet"))) == 4
     joined = op.with_labels(spark.table("bucketed.tx"), spark.table("bucketed.state"), "row_idx")
