@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, secrets, topk
 from .common import table
 
 
@@ -54,5 +54,30 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (repeats * size + rest
 FROM parts
 """
 
-QUERIES = {"op6_mixing": op6_mixing}
-ORACLE = {"op6_mixing": OP6_SQL}
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.digest(table(spark, folder, "documents"))
+
+
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best partners of every vector whose id is divisible by 20."""
+    return topk.exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+QUERIES = {"op4_secrets": op4_secrets, "op6_mixing": op6_mixing, "op8_topk": op8_topk}
+ORACLE = {"op6_mixing": OP6_SQL, "op8_topk": OP8_SQL}
