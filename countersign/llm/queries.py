@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, topk
+from . import mixing, ngram_join, secrets, topk
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles overlap to nine tenths."""
+    return ngram_join.similar(table(spark, folder, "documents"), ngram_join.Rule(3, 90, 100))
+
+
 def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best partners of every vector whose id is divisible by 20."""
     return topk.exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -79,5 +84,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-QUERIES = {"op4_secrets": op4_secrets, "op6_mixing": op6_mixing, "op8_topk": op8_topk}
+QUERIES = {"op4_secrets": op4_secrets, "op5_ngram_join": op5_ngram_join, "op6_mixing": op6_mixing, "op8_topk": op8_topk}
 ORACLE = {"op6_mixing": OP6_SQL, "op8_topk": OP8_SQL}
