@@ -79,7 +79,8 @@ def _sets(batch: pa.RecordBatch, rule: Rule) -> tuple[np.ndarray, np.ndarray, np
     sizes = np.array([len(g) for g in grams], np.int64)
     flat = np.concatenate([*grams, np.zeros(0, _U)])
     first = np.concatenate([[0], np.cumsum(sizes)])
-    total = np.concatenate([[0], np.cumsum(mixed(flat + _U(1)))]).astype(_U)
+    total = np.zeros(len(flat) + 1, _U)
+    np.cumsum(mixed(flat + _U(1)), out=total[1:])
     keys = mixed(total[first[1:]] - total[first[:-1]] + sizes.astype(_U) * _U(0x9E3779B97F4A7C15))
     return flat, sizes, keys.view(np.int64)
 
@@ -113,7 +114,7 @@ def _segment_keys(flat: np.ndarray, sizes: np.ndarray, rule: Rule) -> Iterator[d
         keys, docs = [mixed(whole + mixed(place + _U(3)))], [doc[at]]
         for d in np.flatnonzero(used & (empty > reserve[np.maximum(level, 0)])):
             prefix = sizes[d] - -(-sizes[d] * rule.num // rule.den) + 1
-            keys.append(mixed(flat[first[d] : first[d] + prefix] + mixed(_U(level[d]) + _U(1 << 60))))
+            keys.append(mixed(flat[first[d] : first[d] + prefix] + mixed(np.array([level[d] + (1 << 60)], _U))))
             docs.append(np.full(prefix, d))
         doc = np.concatenate(docs)
         yield {
