@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, secrets, topk
+from . import language, mixing, ngram_join, secrets, topk
 from .common import table
 
 
@@ -84,5 +84,41 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-QUERIES = {"op4_secrets": op4_secrets, "op5_ngram_join": op5_ngram_join, "op6_mixing": op6_mixing, "op8_topk": op8_topk}
+def document_languages(documents: DataFrame) -> DataFrame:
+    """Language of documents: their label is the declared language, their source the host."""
+    model = language.fit(documents, F.col("text"), F.col("lang"))
+    return language.identify(documents, model, F.col("text"), declared=F.col("lang"), host=F.col("source"))
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document from text, declared language and source."""
+    found = document_languages(table(spark, folder, "documents"))
+    return found.select("doc_id", "language", "posterior", "text_language", "accepted")
+
+
+def page_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator over web pages: markup language, address suffix and host."""
+    pages = table(spark, folder, "pages")
+    documents = table(spark, folder, "documents")
+    model = language.fit(documents, F.col("text"), F.col("lang"))
+    url, html = F.col("url"), F.col("html")
+    found = language.identify(
+        pages,
+        model,
+        language.visible_text(html),
+        declared=language.markup_language(html),
+        host=language.host_of(url),
+        suffix=language.suffix_of(url),
+    )
+    return found.select("page_id", "language", "posterior", "text_language", "accepted")
+
+
+QUERIES = {
+    "op4_secrets": op4_secrets,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_mixing": op6_mixing,
+    "op8_topk": op8_topk,
+    "op10_language": op10_language,
+    "page_language": page_language,
+}
 ORACLE = {"op6_mixing": OP6_SQL, "op8_topk": OP8_SQL}
