@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, ngram_join, secrets, topk
+from . import class_lm, decontaminate, language, mixing, ngram_join, secrets, topk
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items in every document, with the least number of edits."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles overlap to nine tenths."""
     return ngram_join.similar(table(spark, folder, "documents"), ngram_join.Rule(3, 90, 100))
@@ -84,6 +89,11 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Class-based and plain log10 probabilities of every document."""
+    return class_lm.score_documents(table(spark, folder, "documents"))
+
+
 def document_languages(documents: DataFrame) -> DataFrame:
     """Language of documents: their label is the declared language, their source the host."""
     model = language.fit(documents, F.col("text"), F.col("lang"))
@@ -114,10 +124,12 @@ def page_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op8_topk": op8_topk,
+    "op9_class_lm": op9_class_lm,
     "op10_language": op10_language,
     "page_language": page_language,
 }
