@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, language, mixing, ngram_join, secrets, topk
+from . import class_lm, decontaminate, language, mixing, ngram_join, secrets, topk, warc
 from .common import table
 
 
@@ -69,6 +69,27 @@ def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar(table(spark, folder, "documents"), ngram_join.Rule(3, 90, 100))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    found = warc.round_trip(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best partners of every vector whose id is divisible by 20."""
     return topk.exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -128,9 +149,10 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
+    "op7_warc": op7_warc,
     "op8_topk": op8_topk,
     "op9_class_lm": op9_class_lm,
     "op10_language": op10_language,
     "page_language": page_language,
 }
-ORACLE = {"op6_mixing": OP6_SQL, "op8_topk": OP8_SQL}
+ORACLE = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL, "op8_topk": OP8_SQL}
