@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, language, mixing, ngram_join, secrets, topk, warc
+from . import class_lm, decontaminate, html_extract, language, mixing, ngram_join, secrets, topk, toxicity, warc
 from .common import table
 
 
@@ -59,6 +59,20 @@ def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(table(spark, folder, "documents"))
 
 
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages")
+    found = html_extract.main_text(pages, html_extract.fit(pages))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Severity of every document, learnt from a bounded sample of the labels."""
+    documents = table(spark, folder, "documents")
+    model = toxicity.fit(documents, table(spark, folder, "labels"))
+    return toxicity.rate(documents.select("doc_id", "text"), model).select("doc_id", "severity", "grade", "toxic")
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items in every document, with the least number of edits."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -145,6 +159,8 @@ def page_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
+    "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
     "op5_ngram_join": op5_ngram_join,
