@@ -5,10 +5,65 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from countersign.llm.common import shared_folder, table
+from countersign.llm import decontaminate, mixing, ngram_join, secrets
+from countersign.llm.common import checkpointed, shared_folder, table
+from countersign.llm.queries import document_languages
 
-STAGES = []
+#: Ids up to which a list of dropped documents is sent to all tasks.
+SENT_IDS = 1_000_000
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is certain enough; ``lang`` stays as declared."""
+    return document_languages(docs).where("accepted").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones (five words, similarity 0.8): that of the least id.
+
+    Documents without words and with a NULL id stay. Of rows that repeat the least id one stays.
+    """
+    found = ngram_join.similar(docs, ngram_join.Rule(5, 80, 100))
+    extra = found.where(F.col("n_shingles") > 0).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("component_id").alias("c"))
+    dropped = checkpointed(extra.where("c <> doc_id or rows > 1").select("doc_id", F.col("c").alias("_c"), "rows"))
+    repeated = dropped.where("_c = doc_id").limit(1).count() > 0
+    few = dropped.count() <= SENT_IDS
+    gone = dropped.where("_c <> doc_id").select("doc_id")
+    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    if not repeated:
+        return out
+    again = dropped.where("_c = doc_id").select("doc_id")
+    again = F.broadcast(again) if few else again
+    once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with secrets replaced by a mark and ``n_chars`` counted anew."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document that is left."""
+    found = mixing.mix(docs)
+    return found.select("doc_id", "lang", "source", "size", "source_size", "target", "taken", "repeats", "rest")
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark", benchmark),
+    ("secrets", secret_scan),
+    ("mix", mix),
+]
 #: No SQL twin: language, edit distances and guess costs have no SQL form.
 ORACLE_SQL = None
 

@@ -2,13 +2,15 @@
 
     P(grade <= j | text) = sigmoid(threshold_j - score),  score = sum of weights of words present
 
-One weight per word is shared by all thresholds, which stay ordered; the result is the expected
+Features are words and beginnings of words. One weight per feature is shared by all thresholds, which stay ordered; the result is the expected
 grade, from 0 (clean) to ``GRADES - 1``.
 
 Labels say toxic or not. The grades of toxic rows are made from how many of their words are
 *marked*: words that toxic rows hold far more often than others. Rows with few of them are of
 grade 1, the upper parts of the rest of grades 2 and 3. Words are features if they are common
-enough in the sample and tell the label apart best. The sample is bounded: ``SAMPLE_ROWS``
+enough in the sample and tell the label apart best, far above chance; of texts that look alike
+(same least hash of 3-word shingles) one row counts, so that the words of a text with many copies
+are not taken for marks. The sample is bounded: ``SAMPLE_ROWS``
 labelled rows with the least hash of their id, half of them from each label where there are so
 many; whole texts are read, in the tasks.
 
@@ -30,19 +32,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Words, slices
+
 GRADES = 4
 SAMPLE_ROWS = 20_000
 FEATURES = 2000
-#: Least share of the sample's toxic rows that must hold a word (or its count) to be a feature.
-LEAST_ROWS = 3
+#: A feature stands in so many rows of the sample, and tells the label so far above chance (chi squared).
+LEAST_ROWS, LEAST_CHI = 5, 20.0
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+#: How much more than any one longer feature a beginning must tell.
+STEM_GAIN = 1.3
 PENALTY = 0.01
 ROUNDS = 300
 
 
+#: Lengths of word beginnings that are features besides whole words, so that inflected forms count.
+BEGINNINGS = (3, 4, 5, 6, 7)
+
+
 def words_of(text: str | None) -> set[str]:
-    """Distinct words of letters, in lower case."""
-    return set(_WORD.findall(text.lower())) if text else set()
+    """Distinct words of letters in lower case, and beginnings of longer ones, marked by a dash."""
+    if not text:
+        return set()
+    words = set(_WORD.findall(text.lower()))
+    return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in BEGINNINGS))
 
 
 class Ordinal(NamedTuple):
@@ -116,7 +129,21 @@ def _sample(documents: DataFrame, labels: DataFrame, sample_rows: int) -> DataFr
     parts = [known.where(F.col("toxic") == t).orderBy(*order).limit(sample_rows // 2) for t in (1, 0)]
     chosen = parts[0].union(parts[1])
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows
+
+
+    def looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                least = [int(s[0]) >> 1 if len(s) else 0 for s in Words(piece.column("text")).shingles(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(piece.column(c) for c in ("doc_id", "text", "toxic")), pa.array(least, pa.int64())],
+                    ["doc_id", "text", "toxic", "look"],
+                )
+
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # at most sample_rows ids
+    rows = rows.mapInArrow(looks, "doc_id long, text string, toxic int, look long")
+    first = rows.groupBy("look", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    return first.select("r.doc_id", "r.text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Ordinal:
@@ -148,12 +175,14 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     a, b = F.col("bad") + 0.5, F.col("clean") + 0.5
     share = (F.col("bad") + F.col("clean")) / float(clean_rows + bad_rows)
     gap = F.col("bad") / float(bad_rows) - F.col("clean") / float(clean_rows)
-    chi = gap * gap / (share * (1.0001 - share))
+    chi = gap * gap / (share * (1.0001 - share) * (1 / clean_rows + 1 / bad_rows))
     odds = F.log(a / (bad_rows + 1.0)) - F.log(b / (clean_rows + 1.0))
-    best = found.select("word", odds.alias("odds"), chi.alias("chi"), "bad").orderBy(F.desc("chi"), "word").limit(features).collect()
+    found = found.select("word", odds.alias("odds"), chi.alias("chi")).where(F.col("chi") >= LEAST_CHI)
+    best = _apart(found.orderBy(F.desc("chi"), "word").limit(4 * features).collect())[:features]
+    if not best:
+        return nothing
     place = {r.word: i for i, r in enumerate(best)}
-    strong = 6.63 * (1 / clean_rows + 1 / bad_rows)  # chance level of chi at one in a hundred, then for many words
-    marked = np.array([r.odds > 1.5 and r.chi > 3 * strong and r.bad >= LEAST_ROWS for r in best])
+    marked = np.array([r.odds > 1.5 for r in best], bool)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,13 +207,36 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     return model._replace(cut=_best_cut(severity, bad))
 
 
+def _apart(best: list) -> list:
+    """Features by falling chi squared, one for each stem.
+
+    A beginning stays if it tells clearly more than every longer feature that begins so;
+    what begins with a feature that stays is left out.
+    """
+    longest: dict[str, float] = {}
+    for row in best:
+        word = row.word.rstrip("-")
+        for n in BEGINNINGS:
+            if n < len(word) or (n == len(word) and row.word == word):
+                key = word[:n] + "-"
+                longest[key] = max(longest.get(key, 0.0), row.chi)
+    best = [r for r in best if not r.word.endswith("-") or r.chi > STEM_GAIN * longest.get(r.word, 0.0)]
+    held = {r.word for r in best if r.word.endswith("-")}
+
+    def begins(row) -> bool:
+        word = row.word.rstrip("-")
+        return any(word[:n] + "-" in held and word[:n] + "-" != row.word for n in BEGINNINGS if n <= len(word))
+
+    return [r for r in best if not begins(r)]
+
+
 def _best_cut(severity: np.ndarray, bad: np.ndarray) -> float:
-    """The least severity to call toxic: most right decisions with both labels weighing the same."""
+    """The severity from which a row is called toxic: the one with the most right decisions."""
     order = np.argsort(-severity, kind="stable")
     s, y = severity[order], bad[order]
-    right = np.cumsum(y) / max(1, y.sum()) - np.cumsum(~y) / max(1, (~y).sum())
+    right = np.cumsum(y) - np.cumsum(~y)
     last = np.append(s[1:] != s[:-1], True)
-    at = int(np.argmax(np.where(last, right, -1)))
+    at = int(np.argmax(np.where(last, right, -len(s))))
     return float((s[at] + s[at + 1]) / 2 if at + 1 < len(s) else s[at])
 
 

@@ -190,7 +190,7 @@ def write(
         planned(pages, least_revisited)
         .drop("payload_bytes")
         .withColumn("shard", shard("page_id"))
-        .repartition(max(1, len(bounds)), "shard")
+        .repartitionByRange(max(1, len(bounds)), "shard")
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "url", "payload_digest")
     )
     rows = ordered.mapInArrow(lambda batches: _written(batches, folder, file_bytes), _MANIFEST)
