@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,12 +236,17 @@ def clean(documents: DataFrame, items: DataFrame, chars_per_edit: int = CHARS_PE
     """``documents`` without those that hold a match of any item; all columns as they are."""
     out = documents
     for block in _blocks(items, block_chars):
+        out = out.where(~_holds(block, chars_per_edit)(F.col("text").cast("string")))
+    return out
 
-        @F.pandas_udf("boolean")
-        def held(parts: Iterator, block=block) -> Iterator:
-            matcher = Matcher(block, chars_per_edit)
-            for texts in parts:
-                yield texts.map(lambda t: bool(t and matcher.matches(t)))
 
-        out = out.where(~held(F.col("text").cast("string")))
-    return out
+def _holds(block: list[tuple[int, str]], chars_per_edit: int):
+    """Whether a text holds a match of any item of the block."""
+
+    @F.pandas_udf("boolean")
+    def held(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(block, chars_per_edit)
+        for texts in parts:
+            yield texts.map(lambda t: bool(t and matcher.matches(t)))
+
+    return held
