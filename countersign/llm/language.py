@@ -96,8 +96,8 @@ def fit(documents: DataFrame, text: Column, label: Column) -> TextModel:
 
     found = rows.mapInArrow(counts, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(languages), BUCKETS))
-    frame = found.toPandas()  # at most MOST_LANGUAGES * BUCKETS rows
-    table[frame["lang"], frame["bucket"]] = frame["n"]
+    frame = found.toArrow()  # at most MOST_LANGUAGES * BUCKETS rows
+    table[frame["lang"].to_numpy(), frame["bucket"].to_numpy()] = frame["n"].to_numpy()
     return TextModel(languages, table)
 
 

@@ -103,7 +103,7 @@ class _Block:
             .select("q", "bin", (F.sum("n").over(down) - F.col("n")).alias("over"), "n")
         )
         need = self.above  # counted above the present range already
-        rows = kth.toPandas()
+        rows = kth.toArrow().to_pandas()
         rows = rows[(rows["over"] + need[rows["q"]] < k)].sort_values("bin").drop_duplicates("q")
         q = rows["q"].to_numpy()
         # A query with fewer than k scores in reach ends in its lowest bin that holds any.
@@ -161,7 +161,7 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 6
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     while True:
         rest = asked if after is None else asked.where(F.col("vec_id") > after)
-        part = rest.orderBy("vec_id").limit(block).toPandas()
+        part = rest.orderBy("vec_id").limit(block).toArrow().to_pandas()
         if not len(part):
             return out
         after = int(part["vec_id"].iloc[-1])

@@ -190,7 +190,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column("toxic")], ["held", "toxic"])
 
     # At most sample_rows rows of at most `features` numbers each.
-    frame = sample.select("text", "toxic").mapInArrow(sparse, "held array<int>, toxic int").toPandas()
+    frame = sample.select("text", "toxic").mapInArrow(sparse, "held array<int>, toxic int").toArrow().to_pandas()
     rows = [np.asarray(r, np.int64) for r in frame["held"]]
     toxic = frame["toxic"].to_numpy()
     order = sorted(range(len(rows)), key=lambda i: (toxic[i], rows[i].tolist()))  # rows arrive in any order
