@@ -28,6 +28,8 @@ HEADLINE = (
     "csv_scan",
     "row_position",
     "stream_state",
+    "stream_stats",
+    "daily_pickup",
 )
 
 

@@ -7,8 +7,10 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MILLIS_PER_DAY = 86_400_000
 _MILLIS_PER_HOUR = 3_600_000.0
+# The two forms of a batch date, a day and a full ISO stamp.
+_DAY = r"^\d{4}-\d{2}-\d{2}$"
+_STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
 
 
 def instant(moment: datetime) -> Column:
@@ -31,12 +33,16 @@ def batch_day(uploaded_at: Column) -> Column:
 
 
 def hours_since(csv_date: Column, as_of: Column) -> Column:
-    """Hours from UTC midnight of ``csv_date`` to ``as_of``, as a fraction.
+    """Hours from ``csv_date`` to ``as_of``, as a fraction.
 
-    ``csv_date`` is a date or its text; NULL where the text is no date.
+    ``csv_date`` is a date, or text: exactly ``yyyy-MM-dd`` means its UTC
+    midnight, a full ISO stamp with its zone that instant. NULL for other text.
     """
-    midnight = F.unix_date(csv_date.try_cast("date")).cast("long") * F.lit(_MILLIS_PER_DAY)
-    return (F.unix_millis(as_of) - midnight).cast("double") / F.lit(_MILLIS_PER_HOUR)
+    text = csv_date.cast("string")
+    day = F.when(F.rlike(text, F.lit(_DAY)), F.concat(text, F.lit("T00:00:00Z")))
+    stamp = F.when(F.rlike(text, F.lit(_STAMP)), text)
+    start = F.try_to_timestamp(F.coalesce(day, stamp))
+    return (F.unix_millis(as_of) - F.unix_millis(start)).cast("double") / F.lit(_MILLIS_PER_HOUR)
 
 
 def grace_over(csv_date: Column, as_of: Column, grace_hours: float | None) -> Column:

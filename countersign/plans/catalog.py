@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from countersign import operators as op
 from countersign.functions import (
-    batch_day,
     conflict_phase,
     grace_over,
     hours_since,
@@ -21,19 +20,24 @@ from countersign.functions import (
     or_default,
 )
 from countersign.plans import tables as t
+from countersign.plans.ingest import load_transactions
 from countersign.session import pin_utc
 from countersign.sources import (
+    append_submissions,
     latest_snapshot,
     parse_ledger_lines,
     parse_state,
     read_ledger,
+    save_state,
     scratch_folder,
+    stamp_batch,
     state_lines,
     with_row_position,
 )
 from countersign.streaming import (
-    ledger_stream,
+    current_snapshot,
     read_history,
+    read_remaining,
     read_state,
     read_stats,
     run_daily_pickup,
@@ -94,6 +98,20 @@ def _uploads(spark: SparkSession, folder: str, *, two_headers: bool = True) -> s
     return t.write_uploads(t.raw_ledger(spark, folder), inbox, two_headers=two_headers)
 
 
+def _picked_up(spark: SparkSession, folder: str) -> str:
+    """Two daily runs: the exports of all years, then new ones of half the rows."""
+    inbox, work = scratch_folder(spark, "inbox"), scratch_folder(spark, "pickup")
+    raw = t.raw_ledger(spark, folder)
+    t.write_uploads(raw, f"{inbox}/first", two_headers=True)
+    run_daily_pickup(spark, inbox, work)
+    newest = raw.agg(F.max("upload")).scalar()
+    again = raw.where(F.col("row_key") % 2 == 0)
+    t.write_uploads(again.where(F.col("upload") != newest), f"{inbox}/second", two_headers=True)
+    t.write_uploads(again.where(F.col("upload") == newest), f"{inbox}/second/last", two_headers=True)
+    run_daily_pickup(spark, inbox, work)
+    return work
+
+
 @query("csv_scan")
 def _csv_scan(spark, folder):
     rows = read_ledger(spark, _uploads(spark, folder))
@@ -109,7 +127,12 @@ def _csv_scan(spark, folder):
 def _csv_text_parse(spark, folder):
     quoted = F.when(F.contains("Amount", F.lit(",")), F.concat(F.lit('"'), "Amount", F.lit('"')))
     line = F.concat_ws(",", "Date", F.coalesce(quoted, "Amount"), "Description", "Owner")
-    lines = t.raw_ledger(spark, folder).select("row_key", line.alias("line"))
+    broken = F.when(F.col("row_key") % 13 == 0, F.lit('"two\nlines"')).otherwise(F.col("Description"))
+    rows = t.raw_ledger(spark, folder).withColumn("Description", broken)
+    lines = rows.select("row_key", line.alias("line"))
+    # A record equal to the header is a record like any other.
+    alike = rows.where(F.col("row_key") % 17 == 0)
+    lines = lines.union(alike.select("row_key", F.lit(",".join(t.FORWARD_HEADER))))
     return parse_ledger_lines(lines, "line").select(
         "row_key",
         F.col("Date").alias("date"),
@@ -131,8 +154,10 @@ def _csv_provenance(spark, folder):
 
 @query("row_position")
 def _row_position(spark, folder):
-    raw = op.required_fields(read_ledger(spark, _uploads(spark, folder)))
-    placed = with_row_position(raw, scratch_folder(spark, "landing"))
+    inbox = _uploads(spark, folder)
+    with t.block_size(spark, t.SMALL_BLOCK):
+        raw = op.required_fields(read_ledger(spark, inbox))
+        placed = with_row_position(raw, scratch_folder(spark, "landing"))
     return placed.select(
         t.upload_of(F.col("source_path")).alias("upload"),
         "row_idx",
@@ -143,11 +168,13 @@ def _row_position(spark, folder):
 
 @query("daily_pickup")
 def _daily_pickup(spark, folder):
-    inbox = _uploads(spark, folder, two_headers=False)
-    work = scratch_folder(spark, "pickup")
-    run_daily_pickup(ledger_stream(spark, inbox), work).awaitTermination()
-    return read_history(spark, work).select(
-        t.upload_of(F.col("source_path")).alias("upload"),
+    work = _picked_up(spark, folder)
+    history = read_history(spark, work)
+    path = F.col("source_path")
+    # An export that replaces the one of its year is an upload of its own.
+    return history.select(
+        t.upload_of(path).alias("upload"),
+        F.when(F.contains(path, F.lit("/second/")), 1).otherwise(0).alias("round"),
         "row_idx",
         "tx_id",
         "date",
@@ -156,6 +183,20 @@ def _daily_pickup(spark, folder):
     )
 
 
+@query("current_snapshot")
+def _current_snapshot(spark, folder):
+    newest = current_snapshot(spark, _picked_up(spark, folder))
+    return newest.select("row_idx", "tx_id", "date", "amount")
+
+
+@query("ledger_in_parts")
+def _ledger_in_parts(spark, folder):
+    """All files as the parts of one upload, with ids that are unique over them."""
+    inbox = _uploads(spark, folder, two_headers=False)
+    tx = load_transactions(spark, inbox, t.ORDERS_AS_OF)
+    return tx.select("row_idx", "tx_id", "date", "amount", "csv_date")
+
+
 @query("latest_snapshot")
 def _latest_snapshot(spark, folder):
     history = t.transactions(spark, folder).withColumn("batch", F.substring("date", 1, 4))
@@ -166,10 +207,9 @@ def _latest_snapshot(spark, folder):
 def _batch_stamp(spark, folder):
     rows = t.orders(spark, folder)
     batch = F.year("o_orderdate").cast("bigint").alias("batch")
-    uploaded = F.max("o_orderdate").cast("timestamp")
-    return rows.groupBy(batch).agg(
-        batch_day(uploaded).alias("csv_date"), F.count(F.lit(1)).alias("transactions")
-    )
+    uploaded = F.max("o_orderdate").cast("timestamp").alias("uploaded_at")
+    batches = rows.groupBy(batch).agg(uploaded, F.count(F.lit(1)).alias("transactions"))
+    return stamp_batch(batches, F.col("uploaded_at")).select("batch", "csv_date", "transactions")
 
 
 def _state_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,8 +311,9 @@ def _roster_filter(spark, folder):
 @query("option_domain")
 def _option_domain(spark, folder):
     labels = t.submissions(spark, folder)
-    accepted = op.accepted_label(t.NARROW_RULES).alias("accepted")
-    return labels.select("seq", t.KEY, "assignment", accepted)
+    offered = op.option_domain(labels, t.NARROW_RULES).withColumn("accepted", F.lit(True))
+    others = op.rejected_labels(labels, t.NARROW_RULES).withColumn("accepted", F.lit(False))
+    return offered.unionByName(others).select("seq", t.KEY, "assignment", "accepted")
 
 
 def _latest_columns(latest: DataFrame) -> DataFrame:
@@ -422,10 +463,78 @@ def _stream_state(spark, folder):
     )
 
 
-@query("stream_stats")
-def _stream_stats(spark, folder):
+def _counted_live(spark: SparkSession, folder: str) -> str:
+    """Live counts over an older upload first, then over the present one."""
     work = scratch_folder(spark, "live")
-    gate = grace_over(F.lit(t.CSV_DATE), instant(t.GATE_OPEN), t.RULES.grace_hours)
     labels, tx = _label_stream(spark, folder), t.transactions(spark, folder)
-    run_live_stats(labels, tx, t.RULES, work, t.KEY).awaitTermination()
-    return read_stats(spark, work, gate)
+    older = tx.where(F.col(t.KEY) % 3 == 0)
+    run_live_stats(labels, older, t.RULES, work, t.KEY, snapshot="older").awaitTermination()
+    run_live_stats(labels, tx, t.RULES, work, t.KEY, snapshot="present").awaitTermination()
+    return work
+
+
+def _open_gate() -> Column:
+    return grace_over(F.lit(t.CSV_DATE), instant(t.GATE_OPEN), t.RULES.grace_hours)
+
+
+@query("stream_stats")
+def _stream_stats(spark, folder):
+    return read_stats(spark, _counted_live(spark, folder), _open_gate())
+
+
+@query("live_remaining")
+def _live_remaining(spark, folder):
+    return read_remaining(spark, _counted_live(spark, folder), t.RULES, _open_gate())
+
+
+# --- through stored files and by text ids ------------------------------------
+
+
+@query("review_stats_by_id")
+def _review_stats_by_id(spark, folder):
+    """The counts with labels that name a transaction by its text id."""
+    tx = t.transactions(spark, folder)
+    named = t.submissions(spark, folder).join(tx.select(t.KEY, "tx_id"), t.KEY).drop(t.KEY)
+    reviewed = op.review(tx, named, t.RULES, t.CSV_DATE, t.GATE_OPEN)
+    return op.review_stats(reviewed)
+
+
+@query("state_round_trip")
+def _state_round_trip(spark, folder):
+    """Stored labels, an edit submitted and appended, the state saved and loaded."""
+    work = scratch_folder(spark, "state")
+    labels = t.submissions(spark, folder)
+    append_submissions(labels, f"{work}/labels")
+    stored = spark.read.parquet(f"{work}/labels")
+    chosen = stored.where(F.col(t.KEY) % 5 == 0).select(t.KEY).distinct()
+    edit = op.submit(chosen, t.RULES, "A", "Other", t.EDITED_AT, 1, t.KEY)
+    append_submissions(edit, f"{work}/labels")
+    latest = op.latest_assignment(spark.read.parquet(f"{work}/labels"), t.KEY)
+    save_state(latest, f"{work}/json", t.KEY, t.RULES)
+    loaded = parse_state(spark.read.text(f"{work}/json"), key="tx_key")
+    return loaded.select("tx_key", "reviewer", "assignment")
+
+
+@query("money_and_dates")
+def _money_and_dates(spark, folder):
+    """Large amounts with exact ties, and batch dates with junk or a time of day."""
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    large = (
+        F.when(kind == 0, F.lit(2.0**46) + key.cast("double") + F.lit(0.125))
+        .when(kind == 1, F.lit(2.0**50) + key.cast("double") + F.lit(0.5))
+        .when(kind == 2, F.lit(2.0**60) + key.cast("double") * 256)
+        .otherwise(F.lit(2.0**64) + key.cast("double") * 4096)
+    )
+    day = F.col("o_orderdate").cast("date").cast("string")
+    written = (
+        F.when(key % 3 == 0, F.concat(day, F.lit(" junk")))
+        .when(key % 3 == 1, F.lit(""))
+        .otherwise(F.concat(day, F.lit("T10:00:00Z")))
+    )
+    as_of = instant(t.ORDERS_AS_OF)
+    return t.orders(spark, folder).select(
+        "o_orderkey",
+        money_text(large).alias("money"),
+        grace_over(written, as_of, 24.0).alias("gate"),
+        conflict_phase(written, as_of, 24.0).alias("phase"),
+    )

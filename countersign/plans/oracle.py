@@ -30,7 +30,7 @@ _TWO = "printf('%.2f', o_totalprice)"
 _RAW = f"""
 raw AS (
   SELECT o_orderkey AS row_key,
-         strftime(o_orderdate, '%Y') || '-' || CAST(o_orderkey // 250000 AS VARCHAR) AS upload,
+         strftime(o_orderdate, '%Y') AS upload,
          strftime(o_orderdate, '%Y-%m-%d') AS date,
          CASE o_orderkey % 8
            WHEN 0 THEN ''
@@ -98,14 +98,34 @@ placed AS (
 
 ORACLE: dict[str, str] = {
     "csv_scan": f"{_ROWS} SELECT {_RAW_TEXTS} FROM raw",
-    "csv_text_parse": f"{_ROWS} SELECT row_key, {_RAW_TEXTS} FROM raw",
+    "csv_text_parse": f"""{_ROWS}
+SELECT row_key, nullif(date, '') AS date, nullif(amount_text, '') AS amount_text,
+       CASE WHEN row_key % 13 = 0 THEN 'two' || chr(10) || 'lines' ELSE nullif(description, '') END
+         AS description, nullif(owner, '') AS owner FROM raw
+UNION ALL
+SELECT row_key, 'Date', 'Amount', 'Description', 'Owner' FROM raw WHERE row_key % 17 = 0""",
     "csv_provenance": f"""{_ROWS}
 SELECT upload, CAST(1 AS BIGINT) AS csv_files, count(*) AS transactions FROM raw GROUP BY upload""",
     "row_position": f"{_PLACED} SELECT upload, row_idx, date, amount_text FROM placed",
-    "daily_pickup": f"""{_PLACED}
-SELECT upload, row_idx, date || '-' || CAST(row_idx AS VARCHAR) AS tx_id, date, amount,
+    "daily_pickup": f"""{_PLACED},
+again AS (
+  SELECT upload, 1 AS round, row_number() OVER (PARTITION BY upload ORDER BY row_key) - 1 AS row_idx,
+         date, amount, description
+  FROM raw WHERE amount_text <> '' AND row_key % 2 = 0),
+taken AS (
+  SELECT upload, 0 AS round, row_idx, date, amount, description FROM placed UNION ALL SELECT * FROM again)
+SELECT upload, round, row_idx, date || '-' || CAST(row_idx AS VARCHAR) AS tx_id, date, amount,
        coalesce(nullif(description, ''), 'Unknown') AS description
-FROM placed""",
+FROM taken""",
+    "current_snapshot": f"""{_ROWS}
+SELECT row_idx, date || '-' || CAST(row_idx AS VARCHAR) AS tx_id, date, amount
+FROM (SELECT *, row_number() OVER (ORDER BY row_key) - 1 AS row_idx FROM raw
+      WHERE amount_text <> '' AND row_key % 2 = 0
+        AND upload = (SELECT max(upload) FROM raw)) AS newest""",
+    "ledger_in_parts": f"""{_ROWS}
+SELECT row_idx, date || '-' || CAST(row_idx AS VARCHAR) AS tx_id, date, amount, '2001-08-01' AS csv_date
+FROM (SELECT *, row_number() OVER (ORDER BY upload, row_key) - 1 AS row_idx FROM raw
+      WHERE amount_text <> '') AS numbered""",
     "latest_snapshot": f"""WITH {_TX}
 SELECT left(date, 4) AS batch, tx_id, amount, description FROM tx
 WHERE left(date, 4) = (SELECT max(left(date, 4)) FROM tx)""",
@@ -207,4 +227,30 @@ SELECT row_idx, max(CASE WHEN reviewer = 'A' THEN assignment END) AS label_a,
        {_ISO.format('max(ts)')} AS last_updated
 FROM latest GROUP BY row_idx""",
     "stream_stats": f"{_FULL}, {_STATS} SELECT * FROM stats",
+    "live_remaining": f"""{_FULL}
+SELECT r.reviewer, count(*) FILTER (WHERE differs OR
+         (CASE WHEN r.reviewer = 'A' THEN label_a ELSE label_b END) IS NULL) AS remaining
+FROM judged, (VALUES ('A'), ('B')) AS r(reviewer) GROUP BY r.reviewer""",
+    "review_stats_by_id": f"{_FULL},{_STATS} SELECT * FROM stats",
+    "state_round_trip": f"""{_LABELS},
+edited AS (
+  SELECT row_idx, reviewer,
+         CASE WHEN reviewer = 'A' AND row_idx % 5 = 0 THEN 'Other' ELSE assignment END AS assignment
+  FROM latest WHERE reviewer IN ('A', 'B')
+  UNION ALL
+  SELECT DISTINCT row_idx, 'A', 'Other' FROM latest AS l WHERE row_idx % 5 = 0
+    AND NOT EXISTS (SELECT 1 FROM latest AS m WHERE m.row_idx = l.row_idx AND m.reviewer = 'A'))
+SELECT CAST(row_idx AS VARCHAR) AS tx_key, reviewer, assignment FROM edited""",
+    "money_and_dates": """
+SELECT o_orderkey,
+       '$' || CASE o_orderkey % 4
+         WHEN 0 THEN CAST((70368744177664 + CAST(o_orderkey AS HUGEINT)) AS VARCHAR) || '.13'
+         WHEN 1 THEN CAST((1125899906842624 + CAST(o_orderkey AS HUGEINT)) AS VARCHAR) || '.50'
+         WHEN 2 THEN CAST((1152921504606846976 + 256 * CAST(o_orderkey AS HUGEINT)) AS VARCHAR) || '.00'
+         ELSE CAST((18446744073709551616 + 4096 * CAST(o_orderkey AS HUGEINT)) AS VARCHAR) || '.00' END AS money,
+       CASE o_orderkey % 3 WHEN 0 THEN true ELSE o_orderkey % 3 <> 1
+         AND TIMESTAMP '2001-08-01 12:00:00' >= o_orderdate + INTERVAL 34 HOUR END AS gate,
+       CASE o_orderkey % 3 WHEN 0 THEN false WHEN 1 THEN false
+         ELSE TIMESTAMP '2001-08-01 12:00:00' >= o_orderdate + INTERVAL 34 HOUR END AS phase
+FROM orders""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +20,10 @@ CSV_DATE = "2024-01-30"
 GATE_CLOSED = datetime(2024, 1, 30, 23, 59, 59, tzinfo=timezone.utc)
 GATE_OPEN = datetime(2024, 1, 31, tzinfo=timezone.utc)
 ORDERS_AS_OF = datetime(2001, 8, 1, 12, tzinfo=timezone.utc)
+EDITED_AT = datetime(2030, 1, 1, tzinfo=timezone.utc)
 MERGE_SPLIT = datetime(2024, 1, 16, tzinfo=timezone.utc)
-# Rows of one upload share a year and a range of this many keys, which bounds a
-# file at any scale and leaves one file per year at the test scales.
-KEYS_PER_UPLOAD = 250_000
+# Bytes of a block when the numbering of rows is tried on files of several blocks.
+SMALL_BLOCK = 1 << 16
 FORWARD_HEADER = ("Date", "Amount", "Description", "Owner")
 SHUFFLED_HEADER = ("Amount", "Owner", "Date", "Description")
 
@@ -36,6 +37,18 @@ LABEL_OF_EVENT = {
 }
 
 
+@contextmanager
+def block_size(spark: SparkSession, size: int):
+    """Files read inside are cut into blocks of ``size`` bytes."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def orders(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/orders.parquet")
 
@@ -97,7 +110,6 @@ def raw_ledger(spark: SparkSession, folder: str, *, spoilt: bool = True) -> Data
     """``orders`` as a ledger: ``row_key``, ``upload`` and the four text columns."""
     key = F.col("o_orderkey")
     two = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    part = F.expr(f"o_orderkey div {KEYS_PER_UPLOAD}").cast("string")
     description = F.col("o_orderpriority")
     owner = F.lit("Unknown")
     if spoilt:
@@ -105,7 +117,7 @@ def raw_ledger(spark: SparkSession, folder: str, *, spoilt: bool = True) -> Data
         owner = F.when(key % 3 == 0, F.lit("")).otherwise(owner)
     return orders(spark, folder).select(
         key.alias("row_key"),
-        F.concat(F.year("o_orderdate").cast("string"), F.lit("-"), part).alias("upload"),
+        F.year("o_orderdate").cast("string").alias("upload"),
         _day("o_orderdate").alias("Date"),
         (_spoilt_amount(two, key) if spoilt else two).alias("Amount"),
         description.alias("Description"),
@@ -114,7 +126,7 @@ def raw_ledger(spark: SparkSession, folder: str, *, spoilt: bool = True) -> Data
 
 
 def write_uploads(raw: DataFrame, folder: str, *, two_headers: bool) -> str:
-    """Write one CSV file per upload, rows in key order.
+    """Write one CSV file per upload, as an export is, rows in key order.
 
     With ``two_headers``, odd years get their columns in another order.
     """

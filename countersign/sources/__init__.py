@@ -14,6 +14,7 @@ from countersign.sources.snapshots import (
     replace_snapshot,
     save_bucketed,
     stamp_batch,
+    upload_id,
 )
 from countersign.sources.state_json import parse_state, save_state, state_lines
 
@@ -31,5 +32,6 @@ __all__ = [
     "scratch_folder",
     "stamp_batch",
     "state_lines",
+    "upload_id",
     "with_row_position",
 ]

@@ -6,7 +6,6 @@ import csv
 import io
 import re
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -21,8 +20,6 @@ SOURCE_PATH = "source_path"
 SOURCE_BLOCK = "source_block"
 PROVENANCE = (SOURCE_FILE, SOURCE_PATH, SOURCE_BLOCK)
 
-_PEEKS_AT_ONCE = 16
-
 
 def csv_options(delimiter: str = ",", multi_line: bool = False) -> dict[str, str]:
     """Reader options shared by batch and stream: RFC 4180 quotes, checked headers.
@@ -59,6 +56,7 @@ def read_ledger(
     delimiter: str = ",",
     multi_line: bool = False,
     by_header: bool = True,
+    listed: bool = False,
 ) -> DataFrame:
     """All ``.csv`` files below ``source`` as text columns picked by header name.
 
@@ -67,10 +65,13 @@ def read_ledger(
     distinct header. ``by_header=False`` skips the look at the headers: for
     trees known to share one; a file that does not then fails the job.
 
-    ``multi_line`` admits line breaks inside quotes, at the price of one task
+    ``listed`` tells that ``source`` holds file addresses as Spark lists them,
+    not paths. ``multi_line`` admits line breaks inside quotes, at the price of one task
     per file.
     """
     options = csv_options(delimiter, multi_line)
+    if listed:
+        source = [_literal_path(uri) for uri in source]
 
     def scan(paths: str | list[str]) -> DataFrame:
         raw = spark.read.options(**options).csv(paths)
@@ -96,25 +97,42 @@ def _no_rows(spark: SparkSession, columns: tuple[str, ...]) -> DataFrame:
 def _files_by_header(
     spark: SparkSession, source: str | list[str], options: dict[str, str]
 ) -> dict[str, list[str]]:
-    """Paths by first line. Spark's own file listing already holds every path on
-    the driver; of each file only the first buffer is read."""
-    lookup = {k: options[k] for k in ("pathGlobFilter", "recursiveFileLookup")}
-    listed = spark.read.options(**lookup).text(source).inputFiles()
-    paths = sorted(_literal_path(uri) for uri in listed)
-
-    def header_of(path: str) -> str | None:
-        start = spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
-        first = start.where(F.length(F.trim("value")) > 0).head(1)
-        return first[0].value.lstrip("\ufeff").rstrip("\r") if first else None
+    """Paths by first line that is not blank, found by one job over all files.
 
+    The driver gets one row per file, as Spark's own file listing does already.
+    The job reads lines without parsing them; for trees known to share one
+    header ``by_header=False`` spares it.
+    """
+    lookup = {k: options[k] for k in ("pathGlobFilter", "recursiveFileLookup")}
+    lines = spark.read.options(**lookup).text(source)
+    start = (F.col("_metadata.file_block_start") == 0) & (F.length(F.trim("value")) > 0)
+    first = (
+        lines.where(start)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .groupBy(F.col("_metadata.file_path").alias("path"))
+        .agg(F.min_by("value", "_at").alias("header"))
+    )
     groups: dict[str, list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(_PEEKS_AT_ONCE) as pool:
-        for path, header in zip(paths, pool.map(header_of, paths)):
-            if header is not None:
-                groups[header].append(path)
+    for row in sorted(first.collect()):
+        groups[row.header.lstrip("\ufeff").rstrip("\r")].append(_literal_path(row.path))
     return groups
 
 
+def files_below(spark: SparkSession, source: str) -> DataFrame:
+    """``source_path, uploaded_at, size`` of all ``.csv`` files below ``source``.
+
+    ``uploaded_at`` is the time of change. Only the listing is read, no content.
+    """
+    listing = spark.read.format("binaryFile").options(
+        pathGlobFilter="*.csv", recursiveFileLookup="true"
+    )
+    return listing.load(source).select(
+        F.col("_metadata.file_path").alias(SOURCE_PATH),
+        F.col("modificationTime").alias("uploaded_at"),
+        F.col("length").alias("size"),
+    )
+
+
 def _literal_path(uri: str) -> str:
     """A listed URI as a path to read: decoded, pattern characters escaped."""
     return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(uri))
@@ -127,11 +145,13 @@ def parse_ledger_lines(
     *,
     columns: tuple[str, ...] = LEDGER_COLUMNS,
     delimiter: str = ",",
+    headers_among: bool = False,
 ) -> DataFrame:
-    """Parse CSV lines held in the text column ``line``; other columns stay.
+    """Parse CSV records held in the text column ``line``; other columns stay.
 
-    Blank lines and repetitions of the header line are dropped; fields are
-    picked by their name in ``header``.
+    A record may have line breaks inside quotes. Blank ones are dropped; fields
+    are picked by their name in ``header``. A record equal to the header is
+    data, unless ``headers_among`` tells that header lines stand among them.
     """
     names = next(csv.reader([header], delimiter=delimiter))
     ddl = ", ".join(f"`{name.replace('`', '``')}` STRING" for name in names)
@@ -141,7 +161,7 @@ def parse_ledger_lines(
         (F.col("_row").getField(c) if c in names else F.lit(None).cast("string")).alias(c)
         for c in columns
     ]
-    body = ~F.trim(F.col(line)).isin("", header.strip())
+    body = ~F.trim(F.col(line)).isin(*(["", header.strip()] if headers_among else [""]))
     return rows.where(body).withColumn("_row", parsed).select(*kept, *fields)
 
 
@@ -152,13 +172,20 @@ def ledger_from_text(
     columns: tuple[str, ...] = LEDGER_COLUMNS,
     delimiter: str = ",",
 ) -> DataFrame:
-    """A block of CSV text given in the program, with its line number.
+    """A block of CSV text given in the program, with the number of each record.
 
-    The first line that is not blank is the header.
+    The first record that is not blank is the header; line breaks inside quotes
+    belong to their field.
     """
-    lines = [line for line in io.StringIO(text.lstrip("\ufeff")) if line.strip()]
-    lines = [line.rstrip("\r\n") for line in lines]
-    if not lines:
+    parsed = csv.reader(io.StringIO(text.lstrip("\ufeff"), newline=""), delimiter=delimiter)
+    records = [fields for fields in parsed if any(field.strip() for field in fields)]
+    if not records:
         raise ValueError("no header line")
-    rows = spark.createDataFrame(list(enumerate(lines[1:])), "line_no bigint, line string")
-    return parse_ledger_lines(rows, "line", lines[0], columns=columns, delimiter=delimiter)
+    header, *body = records
+    at = [header.index(c) if c in header else len(header) for c in columns]
+    rows = [
+        (number, *(fields[i] or None if i < min(len(fields), len(header)) else None for i in at))
+        for number, fields in enumerate(body)
+    ]
+    texts = ", ".join(f"`{c}` string" for c in columns)
+    return spark.createDataFrame(rows, f"line_no bigint, {texts}")

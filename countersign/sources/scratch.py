@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,16 +10,12 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder name below the shared folder the cluster names.
+    """A fresh folder name below the shared folder the session names.
 
-    Only a local session without that setting gets a folder of this machine,
-    which is dropped when the interpreter ends.
+    That is ``spark.checkpoint.dir`` or what ``setCheckpointDir`` was given; the
+    library knows no other folder.
     """
     shared = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return f"{shared.rstrip('/')}/countersign-{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix=f"countersign-{purpose}-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
+    return f"{shared.rstrip('/')}/countersign-{purpose}-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countersign.functions import batch_day, instant
@@ -32,13 +32,20 @@ def save_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
     placed.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def stamp_batch(transactions: DataFrame, uploaded_at: datetime) -> DataFrame:
+def stamp_batch(transactions: DataFrame, uploaded_at: datetime | Column) -> DataFrame:
     """Record the UTC day of the upload with every row of the batch."""
-    return transactions.withColumn("csv_date", batch_day(instant(uploaded_at)))
+    moment = instant(uploaded_at) if isinstance(uploaded_at, datetime) else uploaded_at
+    return transactions.withColumn("csv_date", batch_day(moment))
 
 
-def latest_snapshot(history: DataFrame, batch: str = "csv_date") -> DataFrame:
-    """Rows of the greatest ``batch``.
+def upload_id(uploaded_at: Column, path: Column) -> Column:
+    """A name of an upload that sorts by its time; files of one moment differ by path."""
+    moment = F.date_format(uploaded_at, "yyyyMMdd'T'HHmmssSSSSSS")
+    return F.concat_ws("-", moment, F.substring(F.sha2(path, 256), 1, 12))
+
+
+def latest_snapshot(history: DataFrame, batch: str = "upload_id") -> DataFrame:
+    """Rows of the greatest ``batch``, by default those of the newest upload.
 
     The greatest value is a scalar subquery, so on a table partitioned by
     ``batch`` only the newest partition is read.

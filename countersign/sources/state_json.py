@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countersign.functions import iso_stamp
+from countersign.rules import ReviewRules
 
 # Fixed value: the key that shares the inner map with the reviewers.
 STAMP_KEY = "lastUpdated"
@@ -36,13 +37,20 @@ def parse_state(rows: DataFrame, text: str = "value", key: str = "tx_id") -> Dat
     )
 
 
-def state_lines(latest: DataFrame, key: str = "tx_id") -> DataFrame:
+def state_lines(
+    latest: DataFrame, key: str = "tx_id", rules: ReviewRules | None = None
+) -> DataFrame:
     """Latest labels as one JSON text per transaction, names in order.
 
     ``latest`` has one row per (transaction, reviewer), so what is gathered per
-    transaction is bounded by the number of its reviewers. Each text is a state
-    of its own; :func:`parse_state` reads them back.
+    transaction is bounded by the number of its reviewers; with ``rules`` only
+    those of the roster are kept, which bounds it by the roster. Nobody can be
+    called like the key of the stamp: such a label would be overwritten by it.
+    Each text is a state of its own; :func:`parse_state` reads them back.
     """
+    if rules is not None:
+        latest = latest.where(F.col("reviewer").isin(*rules.roster))
+    latest = latest.where(F.col("reviewer") != STAMP_KEY)
     grouped = latest.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("reviewer", "assignment"))).alias("_labels"),
         F.max("ts").alias("_ts"),
@@ -55,10 +63,12 @@ def state_lines(latest: DataFrame, key: str = "tx_id") -> DataFrame:
     return grouped.select(key, F.to_json(state, {"ignoreNullFields": "false"}).alias("value"))
 
 
-def save_state(latest: DataFrame, path: str, key: str = "tx_id") -> None:
+def save_state(
+    latest: DataFrame, path: str, key: str = "tx_id", rules: ReviewRules | None = None
+) -> None:
     """Replace the state stored at ``path``, one JSON line per transaction.
 
     Spark refuses to overwrite a folder that ``latest`` is read from: write the
     merged state next to the old one.
     """
-    state_lines(latest, key).select("value").write.mode("overwrite").text(path)
+    state_lines(latest, key, rules).select("value").write.mode("overwrite").text(path)

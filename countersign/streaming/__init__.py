@@ -8,15 +8,23 @@ from countersign.streaming.labels import (
     run_live_state,
     run_live_stats,
 )
-from countersign.streaming.pickup import ledger_stream, read_history, run_daily_pickup
+from countersign.streaming.pickup import (
+    current_snapshot,
+    new_uploads,
+    read_history,
+    read_uploads,
+    run_daily_pickup,
+)
 
 __all__ = [
-    "ledger_stream",
+    "current_snapshot",
     "live_state",
+    "new_uploads",
     "read_history",
     "read_remaining",
     "read_state",
     "read_stats",
+    "read_uploads",
     "run_daily_pickup",
     "run_live_state",
     "run_live_stats",

@@ -12,11 +12,22 @@ from countersign.functions import is_filled
 from countersign.operators.assignments import review_state
 from countersign.operators.status import all_submitted, labels_differ
 from countersign.rules import ReviewRules
-from countersign.streaming.runs import BATCH, ensure_log, newest_per_key, start_batches
+from countersign.streaming.runs import (
+    BATCH,
+    BUCKET,
+    COMPACT_EVERY,
+    bucket_of,
+    compact,
+    ensure_log,
+    newest_per_key,
+    read_log,
+    start_batches,
+)
 
 STATE_LOG = "state"
 COUNT_LOG = "counts"
 CHANGE = "change"
+SNAPSHOT = "snapshot"
 
 
 def live_state(stream: DataFrame, rules: ReviewRules, key: str = "tx_id") -> DataFrame:
@@ -31,7 +42,7 @@ def live_state(stream: DataFrame, rules: ReviewRules, key: str = "tx_id") -> Dat
 
 def read_state(spark: SparkSession, folder: str, key: str = "tx_id") -> DataFrame:
     """Current state per transaction from the log :func:`run_live_state` keeps."""
-    return newest_per_key(spark.read.parquet(f"{folder}/{STATE_LOG}"), key)
+    return newest_per_key(read_log(f"{folder}/{STATE_LOG}", spark), key)
 
 
 def run_live_state(
@@ -41,11 +52,16 @@ def run_live_state(
     key: str = "tx_id",
     *,
     after: Callable[[SparkSession, int], None] | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Process all labels available now; append changed transactions to a log.
+    """Process labels; append changed transactions to a log.
 
     Update mode: each batch writes only the transactions it changed, into a
-    folder named by the batch number, so a repeated batch replaces itself.
+    folder named by the batch number, so a repeated batch replaces itself. Every
+    ``COMPACT_EVERY`` batches the log is folded into a base with one row per
+    transaction, so what a reader opens does not grow with the number of
+    batches. ``trigger`` is Spark's; by default the run ends with the data
+    available now.
     ``folder`` must be shared by all executors; it holds the log and the
     checkpoint, which belong together. The number of state partitions is the
     session's ``spark.sql.shuffle.partitions`` at the first start.
@@ -58,8 +74,10 @@ def run_live_state(
         batch.write.mode("overwrite").parquet(f"{log}/{BATCH}={number}")
         if after is not None:
             after(batch.sparkSession, number)
+        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+            compact(log, batch.sparkSession, key, number)
 
-    return start_batches(state, store, f"{folder}/checkpoint", mode="update")
+    return start_batches(state, store, f"{folder}/checkpoint", mode="update", trigger=trigger)
 
 
 def _tallies(rules: ReviewRules) -> dict[str, Column]:
@@ -84,27 +102,50 @@ def run_live_stats(
     rules: ReviewRules,
     folder: str,
     key: str = "tx_id",
+    *,
+    snapshot: str = "",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """:func:`run_live_state`, and the counts brought up to date by each batch.
 
     A second aggregation cannot follow the first one in the same update-mode
     stream, so a batch job takes the difference the changed transactions make.
-    The few changed keys are the build side of both joins. They are read from
-    files, so Spark knows their size: below its broadcast threshold neither the
-    log nor the transactions are shuffled, above it both joins shuffle.
-    ``transactions`` have unique keys and belong to ``folder``: a new snapshot
-    gets a new folder.
+    The few changed keys are the build side of both joins; of the base of the
+    log only their buckets are read.
+
+    ``transactions`` have unique keys, and ``snapshot`` names them, such as the
+    upload they come from. The counts are kept with that name: labels stay when
+    another upload replaces the transactions, so a run under another name counts
+    the stored state anew, once, without replaying labels.
     """
+    spark = stream.sparkSession
     tallies = _tallies(rules)
-    counts = f"{folder}/{COUNT_LOG}"
+    log, counts = f"{folder}/{STATE_LOG}", f"{folder}/{COUNT_LOG}"
     total = F.count(F.lit(1)).alias("total")
+    named = F.lit(snapshot).alias(SNAPSHOT)
     zeros = [F.lit(0).cast("bigint").alias(name) for name in tallies]
-    ensure_log(transactions.agg(total).select("total", *zeros), counts)
+    ensure_log(transactions.agg(total).select("total", *zeros, named), counts)
+    ensure_log(spark.createDataFrame([], live_state(stream, rules, key).schema), log)
+
+    def store(summed: DataFrame, number: int) -> None:
+        summed.write.mode("overwrite").parquet(f"{counts}/{BATCH}={number}")
+
+    def counted_anew(spark: SparkSession, number: int) -> DataFrame:
+        state = newest_per_key(read_log(log, spark, number + 1), key)
+        known = transactions.select(key).join(state, key, "left")
+        sums = [F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in tallies.items()]
+        return known.agg(total, *sums).select("total", *tallies, named)
 
     def count(spark: SparkSession, number: int) -> None:
-        log = f"{folder}/{STATE_LOG}"
+        before = _newest_counts(spark, folder, number)
+        if before.where(F.col(SNAPSHOT) == F.lit(snapshot)).isEmpty():
+            store(counted_anew(spark, number), number)
+            return
         new = spark.read.parquet(f"{log}/{BATCH}={number}")
-        earlier = spark.read.parquet(log).where(F.col(BATCH) < number)
+        touched = [r[0] for r in new.select(bucket_of(key)).distinct().collect()]  # at most BUCKETS
+        earlier = read_log(log, spark, number)
+        if BUCKET in earlier.columns:
+            earlier = earlier.where(F.col(BUCKET).isNull() | F.col(BUCKET).isin(touched))
         old = newest_per_key(earlier.join(new.select(key), key, "left_semi"), key)
 
         def share(state: DataFrame, sign: int) -> DataFrame:
@@ -116,19 +157,26 @@ def run_live_stats(
         known = transactions.select(key).join(spark.read.parquet(f"{folder}/{CHANGE}"), key)
         sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in tallies]
         delta = known.agg(F.lit(0).cast("bigint").alias("total"), *sums)
-        before = _newest_counts(spark, folder, number)
-        summed = before.unionByName(delta).agg(*(F.sum(c).alias(c) for c in before.columns))
-        summed.write.mode("overwrite").parquet(f"{counts}/{BATCH}={number}")
+        columns = ["total", *tallies]
+        both = before.select(*columns).unionByName(delta.select(*columns))
+        store(both.agg(*(F.sum(c).alias(c) for c in columns)).select(*columns, named), number)
 
-    return run_live_state(stream, rules, folder, key, after=count)
+    newest = _newest_counts(spark, folder, keep_batch=True).first()
+    if newest[SNAPSHOT] != snapshot:
+        # The newest batch is counted again under the new name before labels flow.
+        store(counted_anew(spark, newest[BATCH]), newest[BATCH])
+    return run_live_state(stream, rules, folder, key, after=count, trigger=trigger)
 
 
-def _newest_counts(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+def _newest_counts(
+    spark: SparkSession, folder: str, before: int | None = None, *, keep_batch: bool = False
+) -> DataFrame:
     """The counts of the newest batch, or of the newest one before a batch."""
     log = spark.read.parquet(f"{folder}/{COUNT_LOG}")
     if before is not None:
         log = log.where(F.col(BATCH) < before)
-    return log.where(F.col(BATCH) == log.agg(F.max(BATCH)).scalar()).drop(BATCH)
+    newest = log.where(F.col(BATCH) == log.agg(F.max(BATCH)).scalar())
+    return newest if keep_batch else newest.drop(BATCH)
 
 
 def read_stats(spark: SparkSession, folder: str, gate: Column) -> DataFrame:

@@ -235,7 +235,10 @@ def test_csv_text_in_a_column(spark):
     header = "Amount,Date,Description"
     lines = [header, '7,2024-01-01,"a, ""b"""', "", "  ", header, '"",2024-01-02,']
     rows = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
-    got = parse_ledger_lines(rows, "line", header).orderBy("n").collect()
+    every = parse_ledger_lines(rows, "line", header).orderBy("n").collect()
+    assert [r.n for r in every] == [0, 1, 4, 5]
+    assert tuple(every[2]) == (4, "Date", "Amount", "Description", None)
+    got = parse_ledger_lines(rows, "line", header, headers_among=True).orderBy("n").collect()
     assert [tuple(r) for r in got] == [
         (1, "2024-01-01", "7", 'a, "b"', None),
         (5, "2024-01-02", None, None, None),
