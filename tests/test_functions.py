@@ -107,14 +107,19 @@ def test_money_text_known_values(spark):
         (float("-inf"), "$-Infinity"),
         (1e21, "$1e+21"),
         (-1.5e22, "$-1.5e+22"),
-        (123456789012345680000.0, "$123456789012345680000.00"),
+        (123456789012345680000.0, "$123456789012345683968.00"),
+        (2.0**60, "$1152921504606846976.00"),
+        (70368744177664.125, "$70368744177664.13"),
+        (100000000000000.125, "$100000000000000.13"),
+        (2.0**53 + 2, "$9007199254740994.00"),
+        (2.0**69, "$590295810358705651712.00"),
     ]
     got = [v for (v,) in values(spark, [a for a, _ in known], "double", money_text(F.col("x")))]
     assert got == [text for _, text in known]
 
 
 @given(
-    st.lists(st.floats(min_value=-1e13, max_value=1e13), min_size=300, max_size=300),
+    st.lists(st.floats(min_value=-1e20, max_value=1e20), min_size=300, max_size=300),
     st.lists(st.integers(-(10**10), 10**10), min_size=300, max_size=300),
 )
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))

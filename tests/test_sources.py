@@ -319,7 +319,7 @@ def test_latest_snapshot_reads_one_partition(spark, tmp_path):
     spark.range(40).withColumn("csv_date", days).write.partitionBy("csv_date").parquet(
         str(tmp_path / "tx")
     )
-    newest = latest_snapshot(spark.read.parquet(str(tmp_path / "tx")))
+    newest = latest_snapshot(spark.read.parquet(str(tmp_path / "tx")), "csv_date")
     assert newest.count() == 10
     assert "PartitionFilters: [isnotnull(csv_date" in plan_of(newest)
     assert "Subquery" in plan_of(newest)
@@ -362,4 +362,42 @@ def test_scratch_folder_follows_the_session(tmp_path):
     assert scratch_folder(Session("yarn", None, "/set"), "x").startswith("/set/countersign-x-")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_folder(Session("yarn"), "x")
-    assert Path(scratch_folder(Session("local[2]"), "x")).is_dir()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(Session("local[2]"), "x")
+
+
+def test_headers_take_one_job_whatever_the_number_of_files(spark, tmp_path):
+    def jobs(files: int) -> int:
+        folder = tmp_path / str(files)
+        folder.mkdir()
+        for i in range(files):
+            head = "Date,Amount" if i % 2 else "Amount,Date"
+            (folder / f"{i}.csv").write_text(f"{head}\n{'2024-01-01,5' if i % 2 else '5,2024-01-01'}\n")
+        tracker, group = spark.sparkContext.statusTracker(), f"headers-{files}"
+        spark.sparkContext.setJobGroup(group, "")
+        rows = read_ledger(spark, str(folder))
+        assert {(r.Date, r.Amount) for r in rows.collect()} == {("2024-01-01", "5")}
+        return len(tracker.getJobIdsForGroup(group))
+
+    few, many = jobs(100), jobs(200)  # beyond 32 paths Spark lists them by a job
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert many == few <= 12
+
+
+def test_text_with_line_breaks_in_quotes(spark):
+    text = 'Date,Amount,Description\n2024-01-01,5,"two\nlines"\n\nDate,Amount,Description\n2024-01-02,"",x,extra\n'
+    rows = ledger_from_text(spark, text).orderBy("line_no").collect()
+    assert [tuple(r) for r in rows] == [
+        (0, "2024-01-01", "5", "two\nlines", None),
+        (1, "Date", "Amount", "Description", None),
+        (2, "2024-01-02", None, "x", None),
+    ]
+
+
+def test_a_reviewer_called_like_the_stamp_does_not_end_the_save(spark):
+    rows = [("t", "lastUpdated", "A"), ("t", "A", "B"), ("t", "stranger", "A")]
+    frame = spark.createDataFrame(rows, "tx_id string, reviewer string, assignment string")
+    latest = frame.selectExpr("*", "timestamp'2024-01-01' ts", "0L seq")
+    assert "stranger" in state_lines(latest).head().value
+    only = state_lines(latest, rules=ReviewRules.of("A", "B")).head().value
+    assert only == '{"t":{"A":"B","lastUpdated":"2024-01-01T00:00:00.000Z"}}'

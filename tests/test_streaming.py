@@ -1,6 +1,7 @@
 """Streams give what the batch jobs give, over several runs."""
 
 import random
+import shutil
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -9,9 +10,8 @@ from pyspark.sql import functions as F
 from countersign import ReviewRules
 from countersign import operators as op
 from countersign.functions import iso_stamp
-from countersign.sources import latest_snapshot
 from countersign.streaming import (
-    ledger_stream,
+    current_snapshot,
     read_history,
     read_remaining,
     read_state,
@@ -20,8 +20,9 @@ from countersign.streaming import (
     run_live_state,
     run_live_stats,
 )
-from countersign.streaming.runs import BATCH
+from countersign.streaming.runs import BATCH, COMPACT_EVERY, read_log
 from tests import model
+from tests.plans import plan_of
 
 RULES = ReviewRules.of("A", "B")
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -140,6 +141,46 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert tuple(read_stats(spark, folder, F.lit(True)).head()) == expected
 
 
+def test_log_does_not_grow_with_the_batches(spark, tmp_path):
+    folder, batches = str(tmp_path), 2 * COMPACT_EVERY + 2
+    for n in range(batches):
+        events = [(k, "A", "AB"[n % 2], START + timedelta(hours=n), n) for k in KEYS]
+        inbox_of(spark, tmp_path, events)
+    run = run_live_stats(stream_of(spark, tmp_path), transactions(spark), RULES, folder)
+    run.awaitTermination()
+    assert len(run.recentProgress) >= batches
+    kept = read_log(f"{folder}/state", spark)
+    assert kept.count() <= len(KEYS) * (COMPACT_EVERY + 1)
+    assert {r.label_0 for r in read_state(spark, folder).collect()} == {"AB"[(batches - 1) % 2]}
+    assert read_state(spark, folder).count() == len(KEYS)
+    assert len(list((tmp_path / "state").glob("batch_id=*"))) <= 2 * COMPACT_EVERY + 1
+    assert tuple(read_stats(spark, folder, F.lit(True)).head()) == (25, 0, 0, 25)
+
+
+def test_counts_follow_another_upload_without_replay(spark, tmp_path):
+    rng = random.Random(5)
+    events = model.random_events(rng, KEYS, ["A", "B"], START, 200)
+    tx, folder = transactions(spark), str(tmp_path)
+    inbox_of(spark, tmp_path, events[:150])
+    few = tx.where(F.col("tx_id").isin(KEYS[:9]))
+
+    def counted(snapshot, rows, keys, seen):
+        stream = stream_of(spark, tmp_path)
+        run = run_live_stats(stream, rows, RULES, folder, snapshot=snapshot)
+        run.awaitTermination()
+        state, _ = model.replay(seen)
+        expected = model.counts(state, keys, RULES.roster, True)
+        assert tuple(read_stats(spark, folder, F.lit(True)).head()) == expected
+        return run
+
+    counted("one", tx, KEYS, events[:150])
+    run = counted("two", few, KEYS[:9], events[:150])
+    assert sum(p.numInputRows for p in run.recentProgress) == 0
+    inbox_of(spark, tmp_path, events[150:])
+    counted("two", few, KEYS[:9], events)
+    counted("one", tx, KEYS, events)
+
+
 def test_daily_pickup(spark, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
@@ -149,7 +190,7 @@ def test_daily_pickup(spark, tmp_path):
         (inbox / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
 
     def pick_up():
-        run_daily_pickup(ledger_stream(spark, str(inbox)), str(tmp_path)).awaitTermination()
+        run_daily_pickup(spark, str(inbox), str(tmp_path))
         columns = ("source_file", "row_idx", "tx_id", "amount", "description")
         history = read_history(spark, str(tmp_path))
         return history, sorted(tuple(r) for r in history.select(*columns).collect())
@@ -165,13 +206,30 @@ def test_daily_pickup(spark, tmp_path):
     history, both = pick_up()
     assert both == [*monday, ("tue.csv", 0, "2024-01-03-0", 7.0, "b")]
     assert history.where("csv_date = date_format(uploaded_at, 'yyyy-MM-dd')").count() == 3
-    assert latest_snapshot(history, "uploaded_at").head().source_file == "tue.csv"
+    assert current_snapshot(spark, str(tmp_path)).head().source_file == "tue.csv"
     assert pick_up()[1] == both  # nothing new
 
+    # A re-exported file of the same name is a new upload, and the newest one alone is current.
+    put("mon.csv", "2024-01-01,3,c,X")
+    _, third = pick_up()
+    assert sorted(third) == sorted([*both, ("mon.csv", 0, "2024-01-01-0", 3.0, "c")])
+    newest = current_snapshot(spark, str(tmp_path))
+    assert [(r.tx_id, r.amount) for r in newest.collect()] == [("2024-01-01-0", 3.0)]
+    assert "PartitionFilters: [isnotnull(upload_id" in plan_of(newest)
+
+
+def test_history_before_the_first_upload(spark, tmp_path):
+    assert read_history(spark, str(tmp_path)).count() == 0
+    assert current_snapshot(spark, str(tmp_path)).count() == 0
+    (tmp_path / "inbox").mkdir()
+    assert run_daily_pickup(spark, str(tmp_path / "inbox"), str(tmp_path)) == 0
+
 
-def test_daily_pickup_rejects_another_header(spark, tmp_path):
+def test_failed_run_is_repeated_in_place(spark, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()
-    (inbox / "a.csv").write_text("Amount,Date,Description,Owner\n1,2024-01-01,a,X\n")
-    with pytest.raises(Exception, match="header"):
-        run_daily_pickup(ledger_stream(spark, str(inbox)), str(tmp_path)).awaitTermination()
+    (inbox / "a.csv").write_text("Amount,Date\n1,2024-01-01\n")
+    assert run_daily_pickup(spark, str(inbox), str(tmp_path)) == 1
+    shutil.rmtree(tmp_path / "uploads")  # as if the run had ended before it noted its uploads
+    assert run_daily_pickup(spark, str(inbox), str(tmp_path)) == 1
+    assert read_history(spark, str(tmp_path)).count() == 1
