@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countersign.llm import decontaminate, mixing, ngram_join, secrets
-from countersign.llm.common import checkpointed, shared_folder, table
+from countersign.llm.common import checkpointed, shared_folder, small_batches, table
 from countersign.llm.queries import document_languages
 
 #: Ids up to which a list of dropped documents is sent to all tasks.
@@ -17,6 +17,7 @@ SENT_IDS = 1_000_000
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough; ``lang`` stays as declared."""
+    small_batches(spark)
     return document_languages(docs).where("accepted").select(*docs.columns)
 
 
@@ -25,6 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without words and with a NULL id stay. Of rows that repeat the least id one stays.
     """
+    small_batches(spark)
     found = ngram_join.similar(docs, ngram_join.Rule(5, 80, 100))
     extra = found.where(F.col("n_shingles") > 0).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("component_id").alias("c"))
     dropped = checkpointed(extra.where("c <> doc_id or rows > 1").select("doc_id", F.col("c").alias("_c"), "rows"))
@@ -42,17 +44,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with secrets replaced by a mark and ``n_chars`` counted anew."""
+    small_batches(spark)
     out = secrets.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document that is left."""
+    small_batches(spark)
     found = mixing.mix(docs)
     return found.select("doc_id", "lang", "source", "size", "source_size", "target", "taken", "repeats", "rest")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 #: White space of the word contracts, in Java's and in Python's pattern syntax.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -25,8 +26,21 @@ _STEP = int(_random.integers(1, 2**63)) * 2 + 1
 _PLACES = _random.integers(1, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 
 
+#: Rows that go to a Python worker at once; texts may be long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand texts to Python workers in batches of few rows, unless the session says how many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) >= 10_000:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the corpus."""
+    return small_batches(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def word_count(text: Column) -> Column:
@@ -36,28 +50,27 @@ def word_count(text: Column) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``, which all executors share.
-
-    A session without that setting and without a folder of its own gets one from its owner
-    first (``SparkContext.setCheckpointDir``), as the tests do.
-    """
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``, which all executors share."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if spark.sparkContext.master.startswith("local["):
-        return f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the owner of
+    the session has given to ``setCheckpointDir``. There is no other."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, and compressed."""
+    place = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
 
 
 def prefix_sums(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:

@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,15 +129,16 @@ def identify(
     def known(column: Column | None) -> Column:
         return F.coalesce(column.cast("string"), F.lit("")) if column is not None else F.lit("")
 
-    @F.pandas_udf("struct<s:array<double>,letters:double>")
-    def text_scores(texts):
+    @F.arrow_udf("struct<s:array<double>,letters:double>")
+    def text_scores(texts: pa.Array) -> pa.Array:
         out, letters = [], []
-        column = pa.array(texts, pa.string())
-        for piece in slices(pa.RecordBatch.from_arrays([column], ["t"]), "t"):
+        for piece in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t"):
             s, n = model.scores(piece.column("t"))
             out += [None if np.isnan(row[0]) else row for row in s]
             letters += n.tolist()
-        return pd.DataFrame({"s": out, "letters": letters})
+        return pa.StructArray.from_arrays(
+            [pa.array(out, pa.list_(pa.float64())), pa.array(letters, pa.float64())], ["s", "letters"]
+        )
 
     names = F.array(*map(F.lit, languages))
     top = F.array_max(F.col("_t.s"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bitmap, checkpointed, components, in_bitmap, mixed, slices
+from .common import Words, bitmap, checkpointed, components, in_bitmap, mixed, slices, written
 
 #: Groups up to this size are paired up and counted; larger ones are tied to their least member.
 PAIRED = 16
@@ -178,7 +178,8 @@ def _members(texts: DataFrame, rule: Rule, repeated: bytes) -> DataFrame:
 def candidate_edges(texts: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of set keys such that linked sets hang together."""
     repeated = _repeated_keys(texts, rule)
-    members = _members(texts, rule, repeated)
+    # Read by three branches below; written once, the texts are not cut up for each.
+    members = written(_members(texts, rule, repeated), "members")
     groups = members.groupBy("key").agg(F.count("*").alias("size"), F.min("set_key").alias("least")).where("size > 1")
     rows = members.join(groups, "key")
     stars = rows.where((F.col("size") > PAIRED) & (F.col("set_key") != F.col("least"))).select(
