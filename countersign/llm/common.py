@@ -125,11 +125,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bitmap(keys: DataFrame, bits: int) -> bytes:
-    """Which of ``2 ** bits`` places the values of the long column ``key`` fall on, as bits.
+    """Which of ``2 ** bits`` places the values of the column ``key`` (its low bits) fall on, as bits.
 
     Its size is fixed by ``bits``, whatever the number of keys: it may be sent to all tasks.
     """
-    place = keys.select((F.col("key").bitwiseAND(F.lit((1 << bits) - 1))).alias("p"))
+    place = keys.select((F.col("key").cast("long").bitwiseAND(F.lit((1 << bits) - 1))).alias("p"))
     rows = (
         place.groupBy(F.expr("p div 32768").alias("page"))
         .agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))

@@ -46,7 +46,7 @@ PAIRED = 16
 #: Places of the bitmaps (as powers of two): of keys seen twice, and of sets to compare.
 KEY_BITS, SET_BITS = 26, 23
 #: A block's share of sets and of n-grams.
-BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 17
+BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 19
 _FRAGMENT = 4096
 _U = np.uint64
 
@@ -149,9 +149,10 @@ def _repeated_keys(texts: DataFrame, rule: Rule) -> bytes:
             for piece in slices(batch, "text"):
                 flat, sizes, _ = _sets(piece, rule)
                 for found in _segment_keys(flat, sizes, rule):
-                    yield pa.RecordBatch.from_pydict({"key": found["key"]})
+                    # The bitmap looks at the low bits alone, so only they travel.
+                    yield pa.RecordBatch.from_pydict({"key": found["key"].astype(np.int32)})
 
-    keys = texts.mapInArrow(parts, "key long")
+    keys = texts.mapInArrow(parts, "key int")
     return bitmap(keys.groupBy("key").count().where("count > 1").select("key"), KEY_BITS)
 
 
