@@ -23,7 +23,7 @@ ORDERS_AS_OF = datetime(2001, 8, 1, 12, tzinfo=timezone.utc)
 EDITED_AT = datetime(2030, 1, 1, tzinfo=timezone.utc)
 MERGE_SPLIT = datetime(2024, 1, 16, tzinfo=timezone.utc)
 # Bytes of a block when the numbering of rows is tried on files of several blocks.
-SMALL_BLOCK = 1 << 16
+SMALL_BLOCK = 1 << 15
 FORWARD_HEADER = ("Date", "Amount", "Description", "Owner")
 SHUFFLED_HEADER = ("Amount", "Owner", "Date", "Description")
 

@@ -11,6 +11,7 @@ from countersign.sources.ledgers import SOURCE_BLOCK, SOURCE_PATH
 # by shuffle.
 BROADCAST_OFFSETS_BYTES = 32 * 1024 * 1024
 _BYTES_PER_OFFSET = 64
+_SALTS = 16
 
 
 def with_row_position(
@@ -58,9 +59,17 @@ def with_row_position(
     size = offsets.agg(
         F.coalesce(F.sum(F.length(SOURCE_PATH) + F.lit(_BYTES_PER_OFFSET)), F.lit(0))
     ).head()[0]
+    keys = [SOURCE_PATH, SOURCE_BLOCK]
     if size <= broadcast_up_to:
         offsets = F.broadcast(offsets)
-    placed = landed.join(offsets, [SOURCE_PATH, SOURCE_BLOCK])
+    else:
+        # The rows of a block, or of a file that cannot be cut, share a key; salts
+        # deal them to several tasks.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+        offsets = offsets.withColumn("_salt", salts)
+        landed = landed.withColumn("_salt", (F.col("_seq") % _SALTS).cast("int"))
+        keys.append("_salt")
+    placed = landed.join(offsets, keys)
     return placed.select(
         *rows.columns, (F.col("_seq") + F.col("_shift")).cast("bigint").alias(position)
     )

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
+from countersign.plans import tables as t
 from countersign.plans.catalog import QUERIES
 from countersign.plans.oracle import ORACLE
+from countersign.sources import read_ledger, scratch_folder
 from tests.plans import plan_of
 
 DATA = Path("/root/testdata")
@@ -56,7 +58,8 @@ def test_query_equals_sql(spark, sql, scattered, name, layout):
 
 
 def test_contract(spark):
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(ORACLE) == set(QUERIES) <= set(entry_point.oracle_sql())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
     assert tuple(entry_point.entry(spark).head()) == (1500, 34, 118, 1466)
 
 
@@ -84,3 +87,13 @@ def test_known_counts(spark, scale):
     left = QUERIES["remaining_by_reviewer"](spark, folder).collect()
     got = {(r.as_of.startswith("2024-01-31"), r.reviewer): r.remaining for r in left}
     assert got == REMAINING[scale]
+
+
+def test_row_position_runs_over_files_of_several_blocks(spark):
+    inbox = scratch_folder(spark, "uploads")
+    raw = t.raw_ledger(spark, "/root/testdata/sf0.01")
+    t.write_uploads(raw, inbox, two_headers=True)
+    with t.block_size(spark, t.SMALL_BLOCK):
+        rows = read_ledger(spark, inbox)
+        blocks = rows.select("source_path", "source_block").distinct().count()
+    assert blocks >= 2 * rows.select("source_path").distinct().count()
