@@ -157,7 +157,11 @@ def _repeated_keys(texts: DataFrame, rule: Rule) -> bytes:
 
 
 def _members(texts: DataFrame, rule: Rule, repeated: bytes) -> DataFrame:
-    """Sets with each of their keys that occurs elsewhere too."""
+    """Sets with each of their keys that occurs elsewhere too.
+
+    A set with fewer such keys than a link needs has no partner and is left out, so that a
+    passage which many documents share does not tie them together.
+    """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(repeated, np.uint8)
@@ -165,8 +169,14 @@ def _members(texts: DataFrame, rule: Rule, repeated: bytes) -> DataFrame:
             for piece in slices(batch, "text"):
                 flat, sizes, sets = _sets(piece, rule)
                 for found in _segment_keys(flat, sizes, rule):
+                    doc = found.pop("doc")
                     keep = in_bitmap(found["key"], held, KEY_BITS)
-                    doc = found.pop("doc")[keep]
+                    # Most n-grams that the document and any partner in this class have apart.
+                    own = sizes[doc] * (rule.den - rule.num) // rule.num
+                    apart = np.where(found["own"], own, 2 * sizes[doc] * (rule.den - rule.num) // (rule.den + rule.num))
+                    needed = found["parts"] - apart - found["empty"]
+                    keep &= np.bincount(doc[keep], minlength=len(sizes))[doc] >= needed
+                    doc = doc[keep]
                     rows = {name: column[keep] for name, column in found.items()}
                     yield pa.RecordBatch.from_pydict(rows | {"set_key": sets[doc], "n": sizes[doc]})
 
