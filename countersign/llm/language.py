@@ -32,10 +32,11 @@ BUCKETS = 8192
 STRENGTH = 20.0
 #: Longest list of languages; beyond, the rarest labels are no languages of the model.
 MOST_LANGUAGES = 200
-LEAST_POSTERIOR = 0.6
+#: A text is accepted if a language is at least this likely and letters make up this share.
+LEAST_POSTERIOR = 0.4
 #: Hosts (or kinds of declarations) up to which their priors are sent to all tasks.
 SENT_GROUPS = 50_000
-LEAST_LETTERS = 0.2
+LEAST_LETTERS = 0.1
 _NOT_TEXT = np.ones(256, bool)
 _NOT_TEXT[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _FOLD = np.arange(256, dtype=np.uint64)
