@@ -44,7 +44,7 @@ from .common import Words, bitmap, checkpointed, components, in_bitmap, mixed, s
 #: Groups up to this size are paired up and counted; larger ones are tied to their least member.
 PAIRED = 16
 #: Places of the bitmaps (as powers of two): of keys seen twice, and of sets to compare.
-KEY_BITS, SET_BITS = 26, 23
+KEY_BITS, SET_BITS = 28, 23
 #: A block's share of sets and of n-grams.
 BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 19
 _FRAGMENT = 4096
@@ -70,7 +70,8 @@ class Rule(NamedTuple):
         return (self.bounds()[1:] - 1) * (self.den - self.num) // self.num
 
     def reserve(self) -> np.ndarray:
-        return 2 + self.differ() // 400
+        # A linked pair agrees on more segments than chance hits in the bitmap give.
+        return 2 + self.differ() // 12
 
 
 def _sets(batch: pa.RecordBatch, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
