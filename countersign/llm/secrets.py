@@ -32,14 +32,14 @@ _ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _HEX_MARKS = bytes(46 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
-#: Contexts of credentials besides those of the pattern above; group 1 is the value.
+#: Contexts of credentials besides those of the pattern above, up to their value; group 1 is the user of an address.
 _CONTEXT = re.compile(
-    r"""(?:\b(?:pwd|passphrase|pass|passcode|credentials?|auth|private_?key|access_?key|login|bearer)["']?\x20*[:=]\x20*["']?"""
-    r"""|\b(?:Bearer|Basic)\x20+|://[^\s/:@]+:)([!-~]+)""",
+    r"""\b(?:pwd|passphrase|pass|passcode|credentials?|auth|private_?key|access_?key|login|bearer)["']?\x20*[:=]\x20*["']?"""
+    r"""|\b(?:Bearer|Basic)\x20+|://(?=([^\s/:@]+:))""",
     re.I | re.A,
 )
 _CONTEXT_HINT = re.compile(r"pwd|passp|pass\b|passco|credential|auth|_?key|login|bearer|basic|://", re.I | re.A)
-_END = re.compile(r"""["'<>,;)\]}@\s]""")
+_VALUE = re.compile(r"""[^\x00-\x20\x7f-\U0010ffff"'<>,;)\]}@]*""")
 #: Longest stretch that one run of the program looks at; longer values are cut into such pieces.
 LONGEST_GUESSED = 256
 
@@ -133,14 +133,21 @@ def context_spans(text: str, least_guesses: float = LEAST_GUESSES) -> list[Span]
     found = []
     if not _CONTEXT_HINT.search(text):
         return found
+    # A value that begins within one judged before ends no later and costs no more.
+    judged = address = 0
     for m in _CONTEXT.finditer(text):
-        value = m.group(1)
-        stop = _END.search(value)
-        value = value[: stop.start()] if stop else value
-        if m.group(0).startswith("://") and not (stop and stop.group() == "@"):
+        of_address = m.group(1) is not None
+        start = m.end(1) if of_address else m.end()
+        if start < judged or of_address and start < address:
             continue
-        if len(value) >= 6 and guess_cost(value) >= least_guesses:
-            found.append(Span(m.start(1), m.start(1) + len(value), "context"))
+        end = _VALUE.match(text, start).end()
+        if of_address:
+            address = end
+            if text[end : end + 1] != "@":
+                continue
+        judged = end
+        if end - start >= 6 and guess_cost(text[start:end]) >= least_guesses:
+            found.append(Span(start, end, "context"))
     return found
 
 

@@ -69,6 +69,20 @@ def test_context_values():
     assert secrets.redacted(text, spans) == "login: [SECRET] and pwd=changeme; see ftp://bob:[SECRET]@host/x"
 
 
+@pytest.mark.parametrize(
+    "text",
+    ['{"login":"bob","pwd":"xK9#mQ2$vL7p"}', "login=bob;pwd=xK9#mQ2$vL7p", "http://localhost:8080/?pwd=xK9#mQ2$vL7p",
+     "http://host?pwd=xK9#mQ2$vL7p:80", 'credentials: pwd="xK9#mQ2$vL7p"', "a://b:1,c://bob:xK9#mQ2$vL7p@host"],
+)
+def test_every_context_of_a_run_is_tried(text):
+    assert any("xK9#mQ2$vL7p" in text[s.start : s.end] for s in secrets.context_spans(text))
+
+
+def test_a_long_run_of_contexts_is_read_once():
+    for unit in ("pwd=", "://a:"):
+        assert len(secrets.context_spans(unit * 2000)) <= 1
+
+
 def test_redact_keeps_the_rest(odd):
     rows = secrets.redact(odd).collect()
     before = {r.doc_id: r.text for r in odd.collect()}
