@@ -1,7 +1,7 @@
 """Secret scan: pattern spans, plus values of credential contexts that are costly to guess.
 
-A value that follows a word such as ``pwd`` or ``login``, or stands as the password of an
-address, is cut into words, dates, repeats, keyboard walks and brute-force runs by dynamic
+A value that follows a word such as ``password`` or ``login``, or stands as the password of an
+address, up to its closing quote or delimiter, is cut into words, dates, repeats, keyboard walks and brute-force runs by dynamic
 programming over its characters; the cut of least cost gives the number of guesses an attacker
 needs. A value above the threshold is a secret, a guessable one (``changeme``, ``qwerty123``)
 is not.
@@ -32,14 +32,19 @@ _ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _HEX_MARKS = bytes(46 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
-#: Contexts of credentials besides those of the pattern above, up to their value; group 1 is the user of an address.
+#: Contexts of credentials, those of the pattern above among them, up to their value; group 1 is the quote that
+#: opens the value, group 2 the user of an address. A prefix may stand before an underscore.
 _CONTEXT = re.compile(
-    r"""\b(?:pwd|passphrase|pass|passcode|credentials?|auth|private_?key|access_?key|login|bearer)["']?\x20*[:=]\x20*["']?"""
+    r"""(?:password|passwd|secret|token|api_?key|(?<![a-z0-9])(?:pwd|passphrase|pass|passcode|credentials?|auth"""
+    r"""|private_?key|access_?key|login|bearer))["']?\x20*[:=]\x20*(["'])?(?:(?:Bearer|Basic)\x20+)?"""
     r"""|\b(?:Bearer|Basic)\x20+|://(?=([^\s/:@]+:))""",
     re.I | re.A,
 )
-_CONTEXT_HINT = re.compile(r"pwd|passp|pass\b|passco|credential|auth|_?key|login|bearer|basic|://", re.I | re.A)
-_VALUE = re.compile(r"""[^\x00-\x20\x7f-\U0010ffff"'<>,;)\]}@]*""")
+_CONTEXT_HINT = re.compile(r"pwd|passw|passp|pass\b|passco|secret|token|credential|auth|_?key|login|bearer|basic|://", re.I | re.A)
+#: A value in quotes ends at the closing quote of its line, any other at a delimiter, that of an address also at ``@``.
+_QUOTED = {q: re.compile(rf"(?!\s)(?:[^{q}\\\r\n]|\\.)*+(?={q})") for q in "\"'"}
+_BARE = re.compile(r"""[^\x00-\x20\x7f-\U0010ffff"'<>,;)\]}]*""")
+_OF_ADDRESS = re.compile(r"""[^\x00-\x20\x7f-\U0010ffff"'<>,;)\]}@]*""")
 #: Longest stretch that one run of the program looks at; longer values are cut into such pieces.
 LONGEST_GUESSED = 256
 
@@ -136,15 +141,17 @@ def context_spans(text: str, least_guesses: float = LEAST_GUESSES) -> list[Span]
     # A value that begins within one judged before ends no later and costs no more.
     judged = address = 0
     for m in _CONTEXT.finditer(text):
-        of_address = m.group(1) is not None
-        start = m.end(1) if of_address else m.end()
+        of_address = m.group(2) is not None
+        start = m.end(2) if of_address else m.end()
         if start < judged or of_address and start < address:
             continue
-        end = _VALUE.match(text, start).end()
         if of_address:
-            address = end
+            address = end = _OF_ADDRESS.match(text, start).end()
             if text[end : end + 1] != "@":
                 continue
+        else:
+            quoted = _QUOTED[m.group(1)].match(text, start) if m.group(1) else None
+            end = (quoted or _BARE.match(text, start)).end()
         judged = end
         if end - start >= 6 and guess_cost(text[start:end]) >= least_guesses:
             found.append(Span(start, end, "context"))

@@ -83,6 +83,25 @@ def test_a_long_run_of_contexts_is_read_once():
         assert len(secrets.context_spans(unit * 2000)) <= 1
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [('password: "aB9$xQ!2mL"', "aB9$xQ!2mL"), ("secret=p@Zx!81kQ", "p@Zx!81kQ"), ("x password=longenough1$REST y", "longenough1$REST"),
+     ("DB_PASS=xK9#mQ2$vL7p", "xK9#mQ2$vL7p"), ("db_pwd='xK9#mQ2$vL7p'", "xK9#mQ2$vL7p"), ("aws_access_key=xK9#mQ2$vL7p", "xK9#mQ2$vL7p"),
+     ('{"token": "xK9, mQ2;vL7)p"}', "xK9, mQ2;vL7)p"), (r'secret = "xK9\"mQ2$vL7p"', r"xK9\"mQ2$vL7p"), ('secret="xK9#mQ2$vL7p\n', "xK9#mQ2$vL7p"),
+     ("token: Bearer xK9#mQ2$vL7p", "xK9#mQ2$vL7p")],
+)
+def test_values_of_all_contexts_are_taken_whole(text, value):
+    spans = secrets.secret_spans(text)
+    assert value in [text[s.start : s.end] for s in spans if s.kind == "context"]
+    kept = secrets.redacted(text, spans)
+    assert not any(value[i : i + 4] in kept for i in range(len(value) - 3))
+
+
+def test_easy_values_of_all_contexts_stay():
+    for text in ("password: changeme", 'secret="qwerty"', "DB_PASS=123456", 'token: "', "compass=north west"):
+        assert secrets.context_spans(text) == []
+
+
 def test_redact_keeps_the_rest(odd):
     rows = secrets.redact(odd).collect()
     before = {r.doc_id: r.text for r in odd.collect()}
