@@ -16,7 +16,8 @@ Character references are decoded, white space in a block becomes one space, bloc
 and joined by blank lines; nothing is cut.
 
 Edge cases: NULL, empty or text-free html gives the empty text; unclosed and stray tags are read
-as browsers do in the common cases (paragraphs, items and cells close themselves); text outside
+as browsers do in the common cases (paragraphs, items, cells and options close themselves, blocks
+end an open ``svg`` or ``math``); text outside
 any markup is a page of its own kind and is kept; very deep trees are read without recursion;
 repeated rows give repeated results; an empty table gives an empty result; other columns pass
 through, columns of the result's names are replaced.
@@ -40,7 +41,7 @@ TREES, LEAVES_DEPTH, RATE, BINS = 50, 4, 0.2, 32
 
 # Element names of the HTML standard by their role in the page.
 _VOID = set("area base br col embed hr img input link meta source track wbr param frame".split())
-_RAW = set("script style textarea title noscript template iframe svg math select option".split())
+_RAW = set("script style textarea title noscript template iframe".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s "
     "samp small span strike strong sub sup time tt u var wbr img br button".split()
@@ -51,7 +52,11 @@ _CLOSES_P = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section table td th tr ul dd dt".split()
 )
 _SELF = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-_SCOPE = set("table ul ol dl article section div body html td th nav aside main footer header form".split())
+_SELF |= {"option": ("option",), "optgroup": ("optgroup",)}
+_SCOPE = set("table ul ol dl article section div body html td th nav aside main footer header form select datalist".split())
+#: Elements of other languages, which blocks of a page end, and those in them that hold page markup.
+_FOREIGN = {"svg", "math"}
+_HOSTS = set("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 _NAMES = tuple(
     "html body main article section div p ul ol li table tr td h1 h2 h3 blockquote pre figure figcaption nav aside "
     "header footer form dl span a".split()
@@ -82,13 +87,15 @@ _BLANK = re.compile(r"\s+")
 class Node:
     """An element; ``children`` holds elements and texts in page order."""
 
-    __slots__ = ("name", "tokens", "parent", "children", "depth", "inline", "label")
+    __slots__ = ("name", "tokens", "parent", "children", "depth", "foreign", "inline", "label")
 
     def __init__(self, name: str, tokens: Sequence[str], parent: Node | None):
         self.name, self.tokens, self.parent = name, tokens, parent
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
-        self.inline = name in _INLINE
+        around = parent is not None and parent.foreign
+        self.foreign = name in _FOREIGN or around and name not in _HOSTS
+        self.inline = name in _INLINE or self.foreign or around and name != "foreignobject"
         self.label: int | None = None
 
 
@@ -129,8 +136,12 @@ def parse(page: str) -> Node:
             if up is not root:
                 node = up.parent
             continue
+        while node.foreign and (name in _CLOSES_P or name in _HEADINGS):
+            node = node.parent
         if name in _CLOSES_P:
             node = _closed(node, ("p",), root)
+        if name == "optgroup":
+            node = _closed(node, ("option",), root)
         if name in _SELF:
             node = _closed(node, _SELF[name], root)
         if name in _HEADINGS and node.name in _HEADINGS:
@@ -145,7 +156,8 @@ def parse(page: str) -> Node:
             continue
         child = Node(name, _tokens(name, m.group(3)), node)
         node.children.append(child)
-        node = child
+        if not (m.group(3).endswith("/") and (node.foreign or child.foreign)):
+            node = child
     return root
 
 

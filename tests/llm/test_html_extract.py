@@ -56,6 +56,32 @@ def test_parsing(page, text):
     assert h.extract([page], h.Boosted(3.0, [])) == [text]
 
 
+OPEN = [
+    ("<datalist><option value=a><option value=b></datalist><p>one", "one"), ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b", "a x=1 b"),
+    ("<svg viewBox='0 0 1 1'><path d='M0'/><g><p>one</p>", "one"), ("<math><mi>x<p>one</p><p>two", "x\n\none\n\ntwo"),
+    ("<select><optgroup><option>a<option>b<optgroup><option>c</select><p>d", "a\n\nb\n\nc\n\nd"), ("a<svg/>b<p>c", "ab\n\nc"),
+    ("<svg><title>no</title><text>yes</text><foreignObject><div><p>in</p></div></foreignObject></svg><p>out", "yes\n\nin\n\nout"),
+]
+
+
+@pytest.mark.parametrize("page,text", OPEN)
+def test_options_and_foreign_elements_drop_nothing(page, text):
+    assert h.extract([page], h.Boosted(3.0, [])) == [text]
+
+
+def test_options_close_themselves():
+    nodes = h._walk(h.parse("<select><optgroup><option>a<option>b<optgroup><option>c</select><p>d"))
+    assert [(k.name, k.depth) for k in nodes[1:]] == [
+        ("select", 1), ("optgroup", 2), ("option", 3), ("option", 3), ("optgroup", 2), ("option", 3), ("p", 1)
+    ]
+
+
+def test_an_article_after_a_search_box_stays(pages, model):
+    box = "<form><input list=q><datalist id=q><option value=a><option value=b></datalist></form>"
+    page = pages[130].replace("<body>", "<body>" + box, 1)
+    assert page != pages[130] and h.extract([page], model) == [article(pages[130])]
+
+
 def test_deep_and_long_pages(model):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     long = "<article>" + "<p>some words here, and more. </p>" * 5000 + "</article>"
