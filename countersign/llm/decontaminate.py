@@ -10,12 +10,14 @@ tree, a node over p pieces may have p - 1 edits, and a passage within the budget
 nodes up to the root all keep theirs (else both children of some node would break theirs, and
 with them the node). A hit is dropped at the first node that does not match around it.
 
-Texts and items are compared in lower case with every run of white space as one space; a match
-gives its place in the text as it is. Items are read in blocks of bounded size (``BLOCK_CHARS``), each
+Texts and items are compared in lower case with every run of white space as one space, and an
+item without blanks at its ends; a match gives its place in the text as it is. An item that is then
+shorter than ``LEAST_CHARS`` has no edits, as edits of a short text match by chance, and must stand
+as whole words. Items are read in blocks of bounded size (``BLOCK_CHARS``), each
 compared with all texts, so what is sent to the tasks is bounded whatever the number of items.
 
-Edge cases: a NULL or empty text matches nothing; items of NULL or fewer than ``LEAST_CHARS``
-characters are left out, as they match by chance; repeated items and rows give repeated results;
+Edge cases: a NULL or empty text matches nothing; NULL, empty and blank items are
+left out; in scripts without blanks between words any place is a word's end; repeated items and rows give repeated results;
 empty tables give empty results; columns beyond those named pass through ``clean`` unchanged.
 """
 
@@ -35,6 +37,8 @@ CHARS_PER_EDIT = 10
 LEAST_CHARS = 40
 BLOCK_CHARS = 4_000_000
 _RUN = re.compile(" {2,}")
+#: Thai, Lao, Burmese, Khmer, Han and kana: written without blanks between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _flat(text: str) -> str:
@@ -64,6 +68,16 @@ def budget(length: int, chars_per_edit: int = CHARS_PER_EDIT) -> int:
     return length // chars_per_edit
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word of ``text`` goes on across either end of the stretch."""
+
+    def goes_on(at: int) -> bool:
+        pair = text[at - 1 : at + 1] if at else ""
+        return len(pair) == 2 and all((c.isalnum() or c == "_") and not _UNSPACED.match(c) for c in pair)
+
+    return not goes_on(start) and not goes_on(end)
+
+
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     """``item`` cut into ``edits + 1`` pieces of nearly the same length, with their places."""
     cuts = [len(item) * i // (edits + 1) for i in range(edits + 2)]
@@ -119,9 +133,10 @@ class Matcher:
     """All pieces of a block of items in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int = CHARS_PER_EDIT):
-        self.ids = [i for i, _ in items]
-        self.texts = [normal(t).strip() for _, t in items]
-        self.edits = [budget(len(t), chars_per_edit) for t in self.texts]
+        usable = [(i, text) for i, t in items if (text := normal(t).strip())]
+        self.ids = [i for i, _ in usable]
+        self.texts = [t for _, t in usable]
+        self.edits = [budget(len(t), chars_per_edit) if len(t) >= LEAST_CHARS else 0 for t in self.texts]
         self.patterns: dict[tuple[int, int, int], Pattern] = {}
         at: dict[str, list[tuple[int, int, list]]] = {}
         for n, text in enumerate(self.texts):
@@ -153,6 +168,8 @@ class Matcher:
                 zero = start - place
                 if zero in hits.get(n, ()):
                     continue
+                if len(self.texts[n]) < LEAST_CHARS and not whole_words(text, start, last + 1):
+                    continue
                 for begin, end, edits in path:
                     stretch = text[max(0, zero + begin - edits) : max(0, zero + end + edits)]
                     if self.pattern(n, begin, end).best(stretch)[0] > edits:
@@ -191,7 +208,7 @@ class Matcher:
 
 def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Items in order of id, a block of bounded size at a time."""
-    usable = items.where(F.col("item_id").isNotNull() & (F.length("text") >= LEAST_CHARS)).select("item_id", "text")
+    usable = items.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select("item_id", "text")
     block, chars = [], 0
     for row in usable.orderBy("item_id", "text").toLocalIterator():
         block.append((row.item_id, row.text))

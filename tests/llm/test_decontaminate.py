@@ -61,6 +61,21 @@ def test_matches_are_those_of_brute_force(spark):
     assert kept == {i for i, _ in texts} - {r.doc_id for r in got}
 
 
+def test_short_items_match_word_for_word(spark):
+    items = [(1, "What is the capital of Peru?"), (2, "  boiling\tpoint" + " " * 40), (3, "   "), (4, ""), (5, None), (6, "北京在哪里"), (7, "art")]
+    texts = [
+        (1, "Q: what is the  CAPITAL of\nPeru? A: Lima"), (2, "the boiling point of tin"), (3, "the boiling points"), (4, "what is the capitol of peru?"),
+        (5, "请问北京在哪里呢"), (6, "start, party, smart_art"), (7, "smart art"), (8, None), (9, ""), (10, "x" * 60),
+    ]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance): dict(texts)[r.doc_id][r.start : r.end] for r in d.contaminated(documents, table).collect()}
+    assert got == {
+        (1, 1, 0): "what is the  CAPITAL of\nPeru?", (2, 2, 0): "boiling point", (5, 6, 0): "北京在哪里", (7, 7, 0): "art"
+    }
+    assert sorted(r.doc_id for r in d.clean(documents, table).collect()) == [3, 4, 6, 8, 9, 10]
+
+
 @pytest.mark.parametrize("text", ["", "  A\t\n b", "İstanbul  ÉTÉ", "x" * 9 + "  "])
 def test_places_lead_back(text):
     normal, at = d.normal(text), d.places(text)
