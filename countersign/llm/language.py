@@ -30,8 +30,6 @@ from .common import checkpointed, slices, utf8
 
 BUCKETS = 8192
 STRENGTH = 20.0
-#: Longest list of languages; beyond, the rarest labels are no languages of the model.
-MOST_LANGUAGES = 200
 #: A text is accepted if a language is at least this likely and letters make up this share.
 LEAST_POSTERIOR = 0.4
 #: Hosts (or kinds of declarations) up to which their priors are sent to all tasks.
@@ -74,11 +72,10 @@ class TextModel:
 
 
 def fit(documents: DataFrame, text: Column, label: Column) -> TextModel:
-    """Counts over all labelled rows; the model's size is fixed, whatever their number."""
+    """Counts over all labelled rows; the model's size follows the number of labels, not of rows."""
     rows = documents.select(text.cast("string").alias("text"), label.cast("string").alias("label"))
     rows = rows.where(F.col("label").isNotNull() & (F.col("label") != "") & F.col("text").isNotNull())
-    common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r.label for r in common)
+    languages = sorted(r.label for r in rows.select("label").distinct().collect())
     place = {name: i for i, name in enumerate(languages)}
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +93,7 @@ def fit(documents: DataFrame, text: Column, label: Column) -> TextModel:
 
     found = rows.mapInArrow(counts, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(languages), BUCKETS))
-    frame = found.toArrow()  # at most MOST_LANGUAGES * BUCKETS rows
+    frame = found.toArrow()  # at most BUCKETS rows per label
     table[frame["lang"].to_numpy(), frame["bucket"].to_numpy()] = frame["n"].to_numpy()
     return TextModel(languages, table)
 
@@ -161,31 +158,31 @@ def identify(
     whole = sum(per_language.values()) + len(languages)
     overall = F.array(*[F.lit((per_language.get(x, 0) + 1.0) / whole) for x in languages])
 
+    # Counts by place of the language in the model: no column or expression per language.
+    place = F.array_position(names, F.col("text_language")).cast("int") - 1
+    placed = evidence.withColumn("_place", place)
+    places = F.sequence(F.lit(0), F.lit(len(languages) - 1))
+
+    def counted(by: list[str]) -> DataFrame:
+        """Per group of ``by`` the rows of each language in model order, and of all."""
+        got = placed.groupBy(*by, "_place").agg(F.sum("n").alias("n")).groupBy(*by)
+        got = got.agg(F.map_from_entries(F.collect_list(F.struct("_place", "n"))).alias("_n"), F.sum("n").alias("_total"))
+        return got.withColumn("_n", F.transform(places, lambda i: F.coalesce(F.try_element_at("_n", i), F.lit(0)).cast("double")))
+
     def shares(by: list[str], above: DataFrame | None, on: list[str], prior: Column, name: str) -> DataFrame:
         """Per group of ``by`` the share of each language in model order, smoothed by ``prior``."""
-        counts = [
-            F.sum(F.when(F.col("text_language") == x, F.col("n")).otherwise(0)).cast("double").alias(f"_{i}")
-            for i, x in enumerate(languages)
-        ]
-        got = evidence.groupBy(*by).agg(*counts, F.sum("n").alias("_total"))
+        got = counted(by)
         got = got.join(above, on) if above is not None else got
-        part = [(F.col(f"_{i}") + strength * F.get(prior, F.lit(i))) / (F.col("_total") + strength) for i in range(len(languages))]
-        return got.select(*by, F.array(*part).alias(name))
+        part = F.zip_with("_n", prior, lambda n, p: (n + strength * p) / (F.col("_total") + strength))
+        return got.select(*by, part.alias(name))
 
     by_suffix = shares(["_suffix"], None, [], overall, "_above")
     by_host = shares(["_suffix", "_host"], by_suffix, ["_suffix"], F.col("_above"), "_prior")
     # P(declared | language), smoothed over the kinds of declarations seen and one unseen.
     kinds = evidence.select("_declared").distinct().count() + 1
-    said = evidence.groupBy("_declared").agg(
-        F.array(
-            *[
-                F.log(
-                    (F.sum(F.when(F.col("text_language") == x, F.col("n")).otherwise(0)) + 1.0)
-                    / F.lit(float(per_language.get(x, 0) + kinds))
-                )
-                for x in languages
-            ]
-        ).alias("_said")
+    whole_of = F.array(*[F.lit(float(per_language.get(x, 0) + kinds)) for x in languages])
+    said = counted(["_declared"]).select(
+        "_declared", F.zip_with("_n", whole_of, lambda n, total: F.log((n + 1.0) / total)).alias("_said")
     )
     fused = (
         scored.join(_small(by_host), ["_suffix", "_host"], "left")
@@ -193,7 +190,7 @@ def identify(
         .withColumn(
             "_log",
             F.transform(
-                F.sequence(F.lit(0), F.lit(len(languages) - 1)),
+                places,
                 lambda i: F.coalesce(F.get("_t.s", i), F.lit(0.0))
                 + F.log(F.coalesce(F.get("_prior", i), F.get(overall, i)))
                 + F.coalesce(F.get("_said", i), F.lit(0.0)),

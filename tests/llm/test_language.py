@@ -28,6 +28,17 @@ def test_evidence_decides_short_texts(spark, documents):
     assert short == {x: x for x in ("de", "fr", "es", "en")}
 
 
+def test_every_label_is_a_language(spark):
+    """Of 260 labels, 60 with half the rows of the others, each text gets its own."""
+    words = ["".join(chr(97 + (7 * i + 11 * j * (i + 3)) % 26) for j in range(40)) + f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 20 for i in range(260)]
+    rows = [(i, words[i], f"l{i:03}") for i in range(260) for _ in range(1 if i >= 200 else 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(frame, F.col("text"), F.col("lang"))
+    assert model.languages == sorted({r[2] for r in rows})
+    found = language.identify(frame, model, F.col("text"), F.col("lang"), F.lit("h"), F.lit("s")).collect()
+    assert len(found) == len(rows) and all(r.language == r.text_language == r.lang and r.accepted for r in found)
+
+
 def test_scores_are_the_sums_of_a_plain_loop(spark):
     import pyarrow as pa
 
