@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, html_extract, language, mixing, ngram_join, secrets, topk, toxicity, warc
+from . import (
+    class_lm,
+    decontaminate,
+    html_extract,
+    language,
+    license_scan,
+    mixing,
+    ngram_join,
+    secrets,
+    topk,
+    toxicity,
+    warc,
+)
 from .common import table
 
 
@@ -158,6 +170,11 @@ def page_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "language", "posterior", "text_language", "accepted")
 
 
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices of every document."""
+    return license_scan.scan(table(spark, folder, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_toxicity": op2_toxicity,
@@ -169,6 +186,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_class_lm": op9_class_lm,
     "op10_language": op10_language,
+    "op13_license_scan": op13_license_scan,
     "page_language": page_language,
 }
-ORACLE = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL, "op8_topk": OP8_SQL}
+ORACLE = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL, "op8_topk": OP8_SQL, "op13_license_scan": license_scan.oracle_sql()}

@@ -25,7 +25,7 @@ def test_sql_twins(spark, name):
 
 def test_one_query_per_operator():
     numbers = [int(m[1]) for m in (re.match(r"op(\d+)_", name) for name in QUERIES) if m]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, documents, tmp_path):
