@@ -164,13 +164,13 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about ``limit`` bytes of text, so that arrays over bytes stay small.
+    """The batch in pieces of about ``limit`` bytes of text (or binary), so that arrays over bytes stay small.
 
     A single longer text is a piece of its own.
     """
     if not batch.num_rows:
         return
-    lengths = batch.column(column).cast(pa.large_string())
+    lengths = batch.column(column).cast(pa.large_binary())
     offsets = np.frombuffer(lengths.buffers()[1], np.int64)[lengths.offset : lengths.offset + len(lengths) + 1]
     first = 0
     while first < batch.num_rows:

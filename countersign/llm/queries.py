@@ -14,6 +14,7 @@ from . import (
     mixing,
     ngram_join,
     secrets,
+    token_align,
     topk,
     toxicity,
     warc,
@@ -170,6 +171,11 @@ def page_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "language", "posterior", "text_language", "accepted")
 
 
+def op12_token_align(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignment of two tokenizers over every document."""
+    return token_align.align(table(spark, folder, "documents")).documents
+
+
 def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """License notices of every document."""
     return license_scan.scan(table(spark, folder, "documents")).drop("spans")
@@ -186,6 +192,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_class_lm": op9_class_lm,
     "op10_language": op10_language,
+    "op12_token_align": op12_token_align,
     "op13_license_scan": op13_license_scan,
     "page_language": page_language,
 }
