@@ -22,6 +22,16 @@ _random = np.random.Generator(np.random.PCG64(20240601))
 _LETTER = _random.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _LETTER[_SPACE] = 0
 _LETTER_LOWER = _LETTER[_LOWER]
+
+
+def breaks(*ranges: tuple[int, int]) -> np.ndarray:
+    """Bytes that end a word, given as ranges with both ends; blanks must be among them."""
+    out = np.zeros(256, bool)
+    for first, last in ranges:
+        out[first : last + 1] = True
+    return out
+
+
 _STEP = int(_random.integers(1, 2**63)) * 2 + 1
 _PLACES = _random.integers(1, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -197,11 +207,11 @@ class Words:
             back[0] = 1
             cls._inverse = np.multiply.accumulate(back)
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, outside: np.ndarray = _SPACE):
         data, offsets = utf8(texts)
         n = len(data)
         self.data, self.offsets, self.docs = data, offsets, len(texts)
-        inside = ~_SPACE[data]
+        inside = ~outside[data]
         starts_text = np.zeros(n + 1, bool)
         starts_text[offsets] = True
         begins = inside.copy()

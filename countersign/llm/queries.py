@@ -10,6 +10,7 @@ from . import (
     decontaminate,
     html_extract,
     language,
+    lexical,
     license_scan,
     mixing,
     ngram_join,
@@ -171,6 +172,47 @@ def page_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "language", "posterior", "text_language", "accepted")
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 best documents for every benchmark item."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, row_number() OVER () AS doc,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), d AS (
+  SELECT doc_id, doc, terms, len(terms)::BIGINT AS n FROM cut WHERE len(terms) > 0
+), total AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM d
+), tf AS (
+  SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) GROUP BY ALL
+), items AS (
+  SELECT item_id, row_number() OVER () AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark
+), asked AS (
+  SELECT item, term, count(*)::BIGINT AS repeats FROM (SELECT item, unnest(terms) AS term FROM items) GROUP BY ALL
+), df AS (
+  SELECT term, count(*)::BIGINT AS df FROM tf SEMI JOIN asked USING (term) GROUP BY term
+), rare AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, total
+), scored AS (
+  SELECT item, doc, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length))))::BIGINT AS score
+  FROM asked JOIN rare USING (term) JOIN tf USING (term) JOIN d USING (doc), total
+  GROUP BY item, doc
+), ranked AS (
+  SELECT item, doc_id, score,
+         row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scored JOIN d USING (doc) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (item) WHERE rank <= 10
+"""
+
+
 def op12_token_align(spark: SparkSession, folder: str) -> DataFrame:
     """Alignment of two tokenizers over every document."""
     return token_align.align(table(spark, folder, "documents")).documents
@@ -192,8 +234,9 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_class_lm": op9_class_lm,
     "op10_language": op10_language,
+    "op11_lexical_search": op11_lexical_search,
     "op12_token_align": op12_token_align,
     "op13_license_scan": op13_license_scan,
     "page_language": page_language,
 }
-ORACLE = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL, "op8_topk": OP8_SQL, "op13_license_scan": license_scan.oracle_sql()}
+ORACLE = {"op6_mixing": OP6_SQL, "op7_warc": OP7_SQL, "op8_topk": OP8_SQL, "op11_lexical_search": OP11_SQL, "op13_license_scan": license_scan.oracle_sql()}
