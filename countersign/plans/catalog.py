@@ -152,10 +152,26 @@ def _csv_provenance(spark, folder):
     )
 
 
+@query("csv_quoted_blocks")
+def _csv_quoted_blocks(spark, folder):
+    """Descriptions over several lines, in files cut into blocks."""
+    inbox = scratch_folder(spark, "uploads")
+    t.write_uploads(t.with_line_breaks(t.raw_ledger(spark, folder)), inbox, two_headers=True)
+    with t.block_size(spark, t.several_blocks(spark, inbox)):
+        rows = read_ledger(spark, inbox, multi_line=True)
+    return rows.select(
+        t.upload_of(F.col("source_path")).alias("upload"),
+        F.col("Date").alias("date"),
+        F.col("Amount").alias("amount_text"),
+        F.col("Description").alias("description"),
+        F.col("Owner").alias("owner"),
+    )
+
+
 @query("row_position")
 def _row_position(spark, folder):
     inbox = _uploads(spark, folder)
-    with t.block_size(spark, t.SMALL_BLOCK):
+    with t.block_size(spark, t.several_blocks(spark, inbox)):
         raw = op.required_fields(read_ledger(spark, inbox))
         placed = with_row_position(raw, scratch_folder(spark, "landing"))
     return placed.select(

@@ -104,6 +104,13 @@ SELECT row_key, nullif(date, '') AS date, nullif(amount_text, '') AS amount_text
          AS description, nullif(owner, '') AS owner FROM raw
 UNION ALL
 SELECT row_key, 'Date', 'Amount', 'Description', 'Owner' FROM raw WHERE row_key % 17 = 0""",
+    "csv_quoted_blocks": rf"""{_ROWS}
+SELECT upload, date, nullif(amount_text, '') AS amount_text, nullif(CASE row_key % 6
+         WHEN 0 THEN description || chr(10) || chr(10) || 'last line'
+         WHEN 2 THEN 'said "yes",' || chr(10) || description
+         WHEN 4 THEN description || repeat(chr(10) || 'more, "quoted"', row_key % 7) || '.'
+         ELSE description END, '') AS description, nullif(owner, '') AS owner
+FROM raw""",
     "csv_provenance": f"""{_ROWS}
 SELECT upload, CAST(1 AS BIGINT) AS csv_files, count(*) AS transactions FROM raw GROUP BY upload""",
     "row_position": f"{_PLACED} SELECT upload, row_idx, date, amount_text FROM placed",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from countersign.functions import transaction_id
 from countersign.rules import ReviewRules
+from countersign.sources.ledgers import files_below
 
 RULES = ReviewRules.of("A", "B")
 # The label domain without its last entry, so that some labels are rejected.
@@ -22,8 +23,6 @@ GATE_OPEN = datetime(2024, 1, 31, tzinfo=timezone.utc)
 ORDERS_AS_OF = datetime(2001, 8, 1, 12, tzinfo=timezone.utc)
 EDITED_AT = datetime(2030, 1, 1, tzinfo=timezone.utc)
 MERGE_SPLIT = datetime(2024, 1, 16, tzinfo=timezone.utc)
-# Bytes of a block when the numbering of rows is tried on files of several blocks.
-SMALL_BLOCK = 1 << 15
 FORWARD_HEADER = ("Date", "Amount", "Description", "Owner")
 SHUFFLED_HEADER = ("Amount", "Owner", "Date", "Description")
 
@@ -153,6 +152,25 @@ def write_uploads(raw: DataFrame, folder: str, *, two_headers: bool) -> str:
     return folder
 
 
+def with_line_breaks(raw: DataFrame) -> DataFrame:
+    """Descriptions over several lines, with quotes and separators among them, for half the rows."""
+    kind, text = F.col("row_key") % 6, F.col("Description")
+    long = F.concat(text, F.repeat(F.lit("\nmore, \"quoted\""), (F.col("row_key") % 7).cast("int")))
+    broken = (
+        F.when(kind == 0, F.concat(text, F.lit("\n\nlast line")))
+        .when(kind == 2, F.concat(F.lit("said \"yes\",\n"), text))
+        .when(kind == 4, F.concat(long, F.lit(".")))
+        .otherwise(text)
+    )
+    return raw.withColumn("Description", broken)
+
+
+def several_blocks(spark: SparkSession, inbox: str) -> int:
+    """A block size at which the larger ones of the files below ``inbox`` take two or three blocks."""
+    largest = files_below(spark, inbox).agg(F.max("size")).first()[0]
+    return max(1 << 10, -(-largest * 2 // 5))
+
+
 def upload_of(path: Column) -> Column:
     """The upload a file written by :func:`write_uploads` belongs to."""
     return F.regexp_extract(path, r"/upload=([^/]+)/", 1)

@@ -12,6 +12,10 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countersign.sources.headers import first_records
+from countersign.sources.quoted import quoted_records
+from countersign.sources.scratch import scratch_folder
+
 # The header names a ledger is read by.
 LEDGER_COLUMNS = ("Date", "Amount", "Description", "Owner")
 # Where a row came from; needed to number rows in file order.
@@ -19,9 +23,10 @@ SOURCE_FILE = "source_file"
 SOURCE_PATH = "source_path"
 SOURCE_BLOCK = "source_block"
 PROVENANCE = (SOURCE_FILE, SOURCE_PATH, SOURCE_BLOCK)
+_LISTING = {"pathGlobFilter": "*.csv", "recursiveFileLookup": "true"}
 
 
-def csv_options(delimiter: str = ",", multi_line: bool = False) -> dict[str, str]:
+def csv_options(delimiter: str = ",") -> dict[str, str]:
     """Reader options shared by batch and stream: RFC 4180 quotes, checked headers.
 
     Spark maps the columns of all files of one read by position. With
@@ -34,9 +39,7 @@ def csv_options(delimiter: str = ",", multi_line: bool = False) -> dict[str, str
         "quote": '"',
         "escape": '"',
         "enforceSchema": "false",
-        "multiLine": str(multi_line).lower(),
-        "pathGlobFilter": "*.csv",
-        "recursiveFileLookup": "true",
+        **_LISTING,
     }
 
 
@@ -66,10 +69,11 @@ def read_ledger(
     trees known to share one; a file that does not then fails the job.
 
     ``listed`` tells that ``source`` holds file addresses as Spark lists them,
-    not paths. ``multi_line`` admits line breaks inside quotes, at the price of one task
-    per file.
+    not paths. ``multi_line`` admits line breaks inside quotes: files are still read in blocks,
+    but twice, and their records are written once to the shared folder
+    (:mod:`countersign.sources.quoted`).
     """
-    options = csv_options(delimiter, multi_line)
+    options = csv_options(delimiter)
     if listed:
         source = [_literal_path(uri) for uri in source]
 
@@ -81,12 +85,19 @@ def read_ledger(
         ]
         return raw.select(*named, *provenance_columns())
 
-    if not by_header:
+    def cut(header: str, paths: list[str]) -> DataFrame:
+        records = quoted_records(spark, paths, scratch_folder(spark, "records"), _LISTING)
+        parsed = parse_ledger_lines(records, "value", header, columns=columns, delimiter=delimiter)
+        return parsed.select(*(F.col(f"`{c}`") for c in columns), *PROVENANCE)
+
+    if not by_header and not multi_line:
         return scan(source)
-    groups = list(_files_by_header(spark, source, options).values())
+    groups = _files_by_header(spark, source)
     if not groups:
         return _no_rows(spark, columns)
-    return reduce(DataFrame.unionByName, [scan(paths) for paths in groups])
+    if multi_line:
+        return reduce(DataFrame.unionByName, [cut(*group) for group in groups.items()])
+    return reduce(DataFrame.unionByName, [scan(paths) for paths in groups.values()])
 
 
 def _no_rows(spark: SparkSession, columns: tuple[str, ...]) -> DataFrame:
@@ -94,17 +105,27 @@ def _no_rows(spark: SparkSession, columns: tuple[str, ...]) -> DataFrame:
     return spark.createDataFrame([], f"{texts}, {SOURCE_BLOCK} bigint")
 
 
-def _files_by_header(
-    spark: SparkSession, source: str | list[str], options: dict[str, str]
-) -> dict[str, list[str]]:
-    """Paths by first line that is not blank, found by one job over all files.
+def _files_by_header(spark: SparkSession, source: str | list[str]) -> dict[str, list[str]]:
+    """Paths by first record that is not blank, found by one job over the listing.
 
-    The driver gets one row per file, as Spark's own file listing does already.
-    The job reads lines without parsing them; for trees known to share one
-    header ``by_header=False`` spares it.
+    The driver gets one row per file, as Spark's own file listing does already. Tasks read the
+    first bytes of their files. Files in a store that only Spark can read are scanned by Spark.
     """
-    lookup = {k: options[k] for k in ("pathGlobFilter", "recursiveFileLookup")}
-    lines = spark.read.options(**lookup).text(source)
+    found = first_records(files_below(spark, source), SOURCE_PATH).collect()
+    first = {row.path: row.header for row in found if row.reached}
+    others = [_literal_path(row.path) for row in found if not row.reached]
+    if others:
+        first |= _scanned_headers(spark, others)
+    groups: dict[str, list[str]] = defaultdict(list)
+    for path in sorted(first):
+        if first[path] is not None:
+            groups[first[path].lstrip("\ufeff").rstrip("\r")].append(_literal_path(path))
+    return groups
+
+
+def _scanned_headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First lines by a scan of the files; line breaks inside a header are not looked for."""
+    lines = spark.read.options(**_LISTING).text(paths)
     start = (F.col("_metadata.file_block_start") == 0) & (F.length(F.trim("value")) > 0)
     first = (
         lines.where(start)
@@ -112,20 +133,15 @@ def _files_by_header(
         .groupBy(F.col("_metadata.file_path").alias("path"))
         .agg(F.min_by("value", "_at").alias("header"))
     )
-    groups: dict[str, list[str]] = defaultdict(list)
-    for row in sorted(first.collect()):
-        groups[row.header.lstrip("\ufeff").rstrip("\r")].append(_literal_path(row.path))
-    return groups
+    return {row.path: row.header for row in first.collect()}
 
 
-def files_below(spark: SparkSession, source: str) -> DataFrame:
+def files_below(spark: SparkSession, source: str | list[str]) -> DataFrame:
     """``source_path, uploaded_at, size`` of all ``.csv`` files below ``source``.
 
     ``uploaded_at`` is the time of change. Only the listing is read, no content.
     """
-    listing = spark.read.format("binaryFile").options(
-        pathGlobFilter="*.csv", recursiveFileLookup="true"
-    )
+    listing = spark.read.format("binaryFile").options(**_LISTING)
     return listing.load(source).select(
         F.col("_metadata.file_path").alias(SOURCE_PATH),
         F.col("modificationTime").alias("uploaded_at"),

@@ -93,7 +93,7 @@ def test_row_position_runs_over_files_of_several_blocks(spark):
     inbox = scratch_folder(spark, "uploads")
     raw = t.raw_ledger(spark, "/root/testdata/sf0.01")
     t.write_uploads(raw, inbox, two_headers=True)
-    with t.block_size(spark, t.SMALL_BLOCK):
+    with t.block_size(spark, t.several_blocks(spark, inbox)):
         rows = read_ledger(spark, inbox)
         blocks = rows.select("source_path", "source_block").distinct().count()
     assert blocks >= 2 * rows.select("source_path").distinct().count()
