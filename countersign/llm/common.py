@@ -134,21 +134,21 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def bitmap(keys: DataFrame, bits: int) -> bytes:
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     """Which of ``2 ** bits`` places the values of the column ``key`` (its low bits) fall on, as bits.
 
-    Its size is fixed by ``bits``, whatever the number of keys: it may be sent to all tasks.
+    Its size is fixed by ``bits``, whatever the number of keys: it may be sent to all tasks. It
+    comes in slices of 1 MB, so that only the result itself is held as a whole.
     """
+    out = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
     place = keys.select((F.col("key").cast("long").bitwiseAND(F.lit((1 << bits) - 1))).alias("p"))
-    rows = (
-        place.groupBy(F.expr("p div 32768").alias("page"))
-        .agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
-        .collect()
-    )
-    out = bytearray(max(1 << bits >> 3, 4096))
-    for row in rows:
-        out[row.page * 4096 : row.page * 4096 + len(row.bits)] = row.bits
-    return bytes(out)
+    pages = place.groupBy(F.expr("p div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits"))
+    pages = written(pages, "bitmap")
+    for low in range(0, len(out) >> 12, 256):
+        found = pages.where(F.col("page").between(low, low + 255)).toArrow()
+        for page, data in zip(found.column("page").to_pylist(), found.column("bits").to_pylist(), strict=True):
+            out[page << 12 : (page << 12) + len(data)] = np.frombuffer(data, np.uint8)
+    return out
 
 
 def in_bitmap(keys: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:

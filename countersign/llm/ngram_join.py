@@ -36,6 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,7 +145,7 @@ def shingle_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(parts, "doc_id long, n_shingles long, set_key long")
 
 
-def _repeated_keys(texts: DataFrame, rule: Rule) -> bytes:
+def _repeated_keys(texts: DataFrame, rule: Rule) -> np.ndarray:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -157,7 +158,7 @@ def _repeated_keys(texts: DataFrame, rule: Rule) -> bytes:
     return bitmap(keys.groupBy("key").count().where("count > 1").select("key"), KEY_BITS)
 
 
-def _members(texts: DataFrame, rule: Rule, repeated: bytes) -> DataFrame:
+def _members(texts: DataFrame, rule: Rule, repeated: Broadcast) -> DataFrame:
     """Sets with each of their keys that occurs elsewhere too.
 
     A set with fewer such keys than a link needs has no partner and is left out, so that a
@@ -165,7 +166,7 @@ def _members(texts: DataFrame, rule: Rule, repeated: bytes) -> DataFrame:
     """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(repeated, np.uint8)
+        held = repeated.value
         for batch in batches:
             for piece in slices(batch, "text"):
                 flat, sizes, sets = _sets(piece, rule)
@@ -189,9 +190,10 @@ def _members(texts: DataFrame, rule: Rule, repeated: bytes) -> DataFrame:
 
 def candidate_edges(texts: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of set keys such that linked sets hang together."""
-    repeated = _repeated_keys(texts, rule)
+    repeated = texts.sparkSession.sparkContext.broadcast(_repeated_keys(texts, rule))
     # Read by three branches below; written once, the texts are not cut up for each.
     members = written(_members(texts, rule, repeated), "members")
+    repeated.destroy()
     groups = members.groupBy("key").agg(F.count("*").alias("size"), F.min("set_key").alias("least")).where("size > 1")
     rows = members.join(groups, "key")
     stars = rows.where((F.col("size") > PAIRED) & (F.col("set_key") != F.col("least"))).select(
@@ -260,10 +262,10 @@ def _compared(a: list[tuple], b: list[tuple], rule: Rule) -> Iterator[tuple[int,
 
 def links(texts: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between sets of one cluster (node, root), as spanning forests of its blocks."""
-    wanted = bitmap(clusters.select(F.col("node").alias("key")), SET_BITS)
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(clusters.select(F.col("node").alias("key")), SET_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = np.frombuffer(wanted, np.uint8), set()
+        held, seen = wanted.value, set()
         for batch in batches:
             for piece in slices(batch, "text"):
                 flat, sizes, keys = _sets(piece, rule)
