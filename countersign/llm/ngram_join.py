@@ -340,18 +340,47 @@ def _linked(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
         yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [y for _, y in out]})
 
 
-def similar(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """(doc_id, n_shingles, component_id): the least id reachable by links, per row of ``documents``."""
+def set_keys(rule: Rule):
+    """A column function: the key of a text's set, NULL for an empty one."""
+
+    @F.arrow_udf("long")
+    def key(texts: pa.Array) -> pa.Array:
+        _, sizes, keys = _sets(pa.RecordBatch.from_arrays([texts.cast(pa.string())], ["text"]), rule)
+        return pa.array(keys, pa.int64(), mask=sizes == 0)
+
+    return key
+
+
+def grouped(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+    """(doc_id, n_shingles, set_key, component_id, first) per row of ``documents``.
+
+    ``component_id`` is the least id reachable by links. ``first`` tells whether the row has that
+    id and, of the sets with that id in the group, the least key: two groups may share a least id
+    where ids repeat, and each has its own first.
+    """
     texts = documents.select("doc_id", "text")
     base = checkpointed(shingle_sets(texts, rule))
     clusters = checkpointed(components(candidate_edges(texts, rule)))
     roots = components(links(texts, clusters, rule))
-    firsts = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    firsts = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     labelled = firsts.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-        "set_key", "first", F.coalesce("root", "set_key").alias("root")
+        "set_key", "least", F.coalesce("root", "set_key").alias("root")
+    )
+    # A set of NULL ids alone comes last.
+    order = F.struct(F.col("least").isNull(), "least", "set_key")
+    least = labelled.groupBy("root").agg(
+        F.min("least").alias("component"), F.min_by("set_key", order).alias("_first")
     )
-    least = labelled.groupBy("root").agg(F.min("first").alias("component"))
-    ids = labelled.join(least, "root").select("set_key", "component")
+    ids = labelled.join(least, "root").select("set_key", "component", (F.col("_first") == F.col("set_key")).alias("_first"))
     return base.join(ids, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+        "doc_id",
+        "n_shingles",
+        "set_key",
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce(F.col("_first") & F.col("doc_id").eqNullSafe(F.col("component")), F.lit(True)).alias("first"),
     )
+
+
+def similar(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
+    """(doc_id, n_shingles, component_id): the least id reachable by links, per row of ``documents``."""
+    return grouped(documents, rule).select("doc_id", "n_shingles", "component_id")
