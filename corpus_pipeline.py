@@ -24,22 +24,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones (five words, similarity 0.8): that of the least id.
 
-    Documents without words and with a NULL id stay. Of rows that repeat the least id one stays.
+    Documents without words and with a NULL id stay. Where ids repeat, a row is known by its id and
+    its set of word runs: different texts of one id are documents of their own, and of rows that
+    repeat both one stays, that of the least text.
     """
     small_batches(spark)
-    found = ngram_join.similar(docs, ngram_join.Rule(5, 80, 100))
-    extra = found.where(F.col("n_shingles") > 0).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("component_id").alias("c"))
-    dropped = checkpointed(extra.where("c <> doc_id or rows > 1").select("doc_id", F.col("c").alias("_c"), "rows"))
-    repeated = dropped.where("_c = doc_id").limit(1).count() > 0
-    few = dropped.count() <= SENT_IDS
-    gone = dropped.where("_c <> doc_id").select("doc_id")
-    out = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    if not repeated:
-        return out
-    again = dropped.where("_c = doc_id").select("doc_id")
-    again = F.broadcast(again) if few else again
-    once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+    rule = ngram_join.Rule(5, 80, 100)
+    found = ngram_join.grouped(docs, rule)
+    known = checkpointed(found.where("doc_id is not null").select("doc_id", "set_key", "first"))
+    ids = known.groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and("first").alias("first"))
+    touched = checkpointed(ids.where("rows > 1 or not first").select("doc_id", "rows"))
+    few = touched.count() <= SENT_IDS
+    touched = F.broadcast(touched) if few else touched
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+    told = rows.join(touched, rows.id == touched.doc_id, "left").select("id", "row", "rows")
+    out = told.where("rows is null").select("row")
+    again = known.join(touched.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    if again.limit(1).count():
+        sets = again.where("first and set_key is not null").select("doc_id", "set_key").distinct()
+        repeated = told.where("rows > 1").withColumn("key", ngram_join.set_keys(rule)(F.col("row.text")))
+        empty = repeated.where("key is null").select("row")
+        once = (
+            repeated.join(sets, (repeated.id == sets.doc_id) & (repeated.key == sets.set_key))
+            .groupBy("id", "key")
+            .agg(F.min_by("row", F.struct("row.text", F.xxhash64("row"))).alias("row"))
+        )
+        out = out.union(empty).union(once.select("row"))
+    return out.select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
