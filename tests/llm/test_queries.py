@@ -62,3 +62,19 @@ def test_pipeline_takes_odd_rows(spark, odd, none, tmp_path):
             stage(spark, docs, SMALL).write.parquet(str(tmp_path / f"{n}{name}"))
             docs = spark.read.parquet(str(tmp_path / f"{n}{name}"))
         assert (docs.count() > 0) == (n == 0)
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    text = lambda x, n=60: " ".join(f"{x}{i}" for i in range(n))
+    rows = [
+        (1, text("w")), (1, text("z")), (2, text("w") + " more"), (2, text("v")), (3, text("z").upper()),
+        (1, text("w").upper()), (4, ""), (4, text("u")), (None, text("w")), (5, None), (5, None), (6, text("t")), (6, text("t")),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, rows string").repartition(4)
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.select("doc_id", "text").collect()), key=repr)
+    want = [(1, text("w").upper()), (1, text("z")), (2, text("v")), (4, ""), (4, text("u")), (None, text("w")), (5, None), (5, None), (6, text("t"))]
+    assert got == sorted(want, key=repr)
+    again = corpus_pipeline.near_duplicates(spark, docs.repartition(3), SMALL)
+    assert sorted(map(tuple, again.select("doc_id", "text").collect()), key=repr) == got
