@@ -12,6 +12,12 @@ from countersign.operators.assignments import (
     roster_filter,
     submit,
 )
+from countersign.operators.rosters import (
+    roster_places,
+    roster_remaining,
+    roster_review,
+    roster_state,
+)
 from countersign.operators.stats import (
     conflict_alert,
     remaining_by_reviewer,
@@ -66,6 +72,10 @@ __all__ = [
     "review_summary",
     "reviewer_labels",
     "roster_filter",
+    "roster_places",
+    "roster_remaining",
+    "roster_review",
+    "roster_state",
     "submit",
     "transaction_fields",
     "tx_reviewer_matrix",

@@ -27,7 +27,9 @@ from countersign.sources import (
     latest_snapshot,
     parse_ledger_lines,
     parse_state,
+    publish_snapshot,
     read_ledger,
+    read_snapshot,
     save_state,
     scratch_folder,
     stamp_batch,
@@ -36,11 +38,14 @@ from countersign.sources import (
 )
 from countersign.streaming import (
     current_snapshot,
+    read_gate,
     read_history,
     read_remaining,
     read_state,
     read_stats,
+    read_uploads,
     run_daily_pickup,
+    run_live_gate,
     run_live_state,
     run_live_stats,
 )
@@ -205,6 +210,34 @@ def _current_snapshot(spark, folder):
     return newest.select("row_idx", "tx_id", "date", "amount")
 
 
+@query("emptied_snapshot")
+def _emptied_snapshot(spark, folder):
+    """An export whose rows all lack a field, after the others: it is current, and empty."""
+    inbox, work = scratch_folder(spark, "inbox"), scratch_folder(spark, "pickup")
+    raw = t.raw_ledger(spark, folder)
+    t.write_uploads(raw, f"{inbox}/first", two_headers=True)
+    run_daily_pickup(spark, inbox, work)
+    empty = raw.where(F.col("row_key") % 8 == 0).withColumns({"Amount": F.lit(""), "upload": F.lit("2002")})
+    t.write_uploads(empty, f"{inbox}/second", two_headers=False)
+    run_daily_pickup(spark, inbox, work)
+    current = current_snapshot(spark, work).agg(F.count("*").alias("current_rows"))
+    stored = read_history(spark, work).agg(F.count("*").alias("stored_rows"))
+    uploads = read_uploads(spark, work).agg(F.count("*").alias("uploads"))
+    return current.select("current_rows", stored.scalar().alias("stored_rows"), uploads.scalar().alias("uploads"))
+
+
+@query("published_snapshot")
+def _published_snapshot(spark, folder):
+    """A reader that began before the switch, and one after it."""
+    work = scratch_folder(spark, "published")
+    tx = t.transactions(spark, folder)
+    publish_snapshot(tx.where(F.col(t.KEY) % 2 == 0), work)
+    before = read_snapshot(spark, work)
+    publish_snapshot(tx.where(F.col(t.KEY) % 3 == 0), work)
+    seen = before.withColumn("reader", F.lit("before")).union(read_snapshot(spark, work).withColumn("reader", F.lit("after")))
+    return seen.select("reader", "tx_id", "amount")
+
+
 @query("ledger_in_parts")
 def _ledger_in_parts(spark, folder):
     """All files as the parts of one upload, with ids that are unique over them."""
@@ -243,6 +276,18 @@ def _state_from_json(spark, folder):
     )
 
 
+@query("state_repeated_keys")
+def _state_repeated_keys(spark, folder):
+    """State texts in which transactions and reviewers come more than once."""
+    rows = t.orders(spark, folder)
+    fields = {"id": F.col("o_orderkey").cast("string"), "label": F.col("o_orderpriority")}
+    parts = [
+        '{"', "id", '":{"A":"', "label", '","C":"gone"},"', "id", '":{"A":"old","B":"', "label", '","A":"', "label", '"}}'
+    ]
+    text = F.concat(*(fields.get(part, F.lit(part)) for part in parts))
+    return parse_state(rows.select(text.alias("value")), key="tx_key").select("tx_key", "reviewer", "assignment")
+
+
 @query("state_to_json")
 def _state_to_json(spark, folder):
     latest = op.latest_assignment(t.submissions(spark, folder), t.KEY)
@@ -416,6 +461,30 @@ def _remaining_by_reviewer(spark, folder):
     return counts.select(_as_of(), "reviewer", "remaining")
 
 
+# --- large rosters ---
+
+
+def _large_roster(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """State and roster with every user as a reviewer."""
+    named = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    labels = t.submissions_by(t.events(spark, folder), named)
+    roster = op.roster_places(labels)
+    return op.roster_state(labels, roster, t.KEY), roster
+
+
+@query("large_roster")
+def _large_roster_review(spark, folder):
+    state, _ = _large_roster(spark, folder)
+    reviewed = op.roster_review(t.transactions(spark, folder), state, _open_gate(), t.KEY)
+    return reviewed.select("tx_id", "given", "submitted", "conflict", "status")
+
+
+@query("large_roster_remaining")
+def _large_roster_remaining(spark, folder):
+    state, roster = _large_roster(spark, folder)
+    return op.roster_remaining(t.transactions(spark, folder), state, roster, _open_gate(), t.KEY)
+
+
 # --- views -------------------------------------------------------------------
 
 
@@ -503,6 +572,21 @@ def _live_remaining(spark, folder):
     return read_remaining(spark, _counted_live(spark, folder), t.RULES, _open_gate())
 
 
+@query("live_gate")
+def _live_gate(spark, folder):
+    """Conflicts by the tick of the clock that made them visible; no label arrives meanwhile."""
+    work = scratch_folder(spark, "live")
+    run_live_state(_label_stream(spark, folder), t.RULES, work, t.KEY).awaitTermination()
+    for number, tick in enumerate(t.TICKS):
+        spark.range(1).select(instant(tick).alias("now")).coalesce(1).write.parquet(f"{work}/ticks/{number}")
+    clock = spark.readStream.schema("now timestamp").option("maxFilesPerTrigger", 1).parquet(f"{work}/ticks/*")
+    tx = t.transactions(spark, folder)
+    run_live_gate(clock, tx, t.RULES, work, t.KEY, csv_date="date").awaitTermination()
+    return read_gate(spark, work).select(
+        "tx_id", F.col(A).alias("label_a"), F.col(B).alias("label_b"), iso_stamp("opened_at").alias("opened_at")
+    )
+
+
 # --- through stored files and by text ids ------------------------------------
 
 

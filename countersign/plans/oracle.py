@@ -49,6 +49,15 @@ raw AS (
            ELSE CAST({_TWO} AS DOUBLE) END AS amount
   FROM orders)"""
 
+# Latest labels with every user as a reviewer.
+_BY_USER = """
+given AS (
+  SELECT 7 * (event_id // 4) AS row_idx, 'u' || CAST(user_id AS VARCHAR) AS reviewer,
+         arg_max(event_type, ts) AS label
+  FROM events GROUP BY ALL),
+grouped AS (
+  SELECT row_idx, count(*) AS given, count(DISTINCT label) > 1 AS differ FROM given GROUP BY row_idx)"""
+
 # One row per transaction with both labels, by way of distinct counts.
 _JUDGED = """
 judged AS (
@@ -111,6 +120,32 @@ SELECT upload, date, nullif(amount_text, '') AS amount_text, nullif(CASE row_key
          WHEN 4 THEN description || repeat(chr(10) || 'more, "quoted"', row_key % 7) || '.'
          ELSE description END, '') AS description, nullif(owner, '') AS owner
 FROM raw""",
+    "emptied_snapshot": f"""{_ROWS}
+SELECT CAST(0 AS BIGINT) AS current_rows, count(*) FILTER (amount_text <> '') AS stored_rows,
+       count(DISTINCT upload) + 1 AS uploads
+FROM raw""",
+    "published_snapshot": f"""WITH {_TX}
+SELECT 'before' AS reader, tx_id, amount FROM tx WHERE row_idx % 2 = 0 UNION ALL
+SELECT 'after' AS reader, tx_id, amount FROM tx WHERE row_idx % 3 = 0""",
+    "state_repeated_keys": """
+SELECT CAST(o_orderkey AS VARCHAR) AS tx_key, reviewer, o_orderpriority AS assignment
+FROM orders, (VALUES ('A'), ('B')) AS r(reviewer)""",
+    "large_roster": f"""WITH {_TX}, {_BY_USER}
+SELECT tx_id, coalesce(given, 0) AS given, false AS submitted, coalesce(differ, false) AS conflict,
+       CASE WHEN differ THEN 'CONFLICT' ELSE 'PENDING' END AS status
+FROM tx LEFT JOIN grouped USING (row_idx)""",
+    "large_roster_remaining": f"""WITH {_TX}, {_BY_USER}
+SELECT reviewer, (SELECT count(*) FROM tx) - count(done.row_idx) AS remaining
+FROM (SELECT DISTINCT reviewer FROM given) AS roster
+LEFT JOIN (SELECT reviewer, row_idx FROM given JOIN grouped USING (row_idx) JOIN tx USING (row_idx)
+           WHERE NOT differ) AS done USING (reviewer)
+GROUP BY reviewer""",
+    "live_gate": f"""WITH {_TX}, {_SUB}, {_LATEST}, {_JUDGED},
+ticks AS (SELECT unnest([TIMESTAMP '1997-12-31 23:59:59', TIMESTAMP '1998-01-01', TIMESTAMP '2002-01-01']) AS tick)
+SELECT tx_id, label_a, label_b, strftime(min(tick), '%Y-%m-%dT%H:%M:%S.000Z') AS opened_at
+FROM judged JOIN tx USING (row_idx, tx_id), ticks
+WHERE differs AND tick >= CAST(date AS TIMESTAMP) + INTERVAL 24 HOUR
+GROUP BY tx_id, label_a, label_b""",
     "csv_provenance": f"""{_ROWS}
 SELECT upload, CAST(1 AS BIGINT) AS csv_files, count(*) AS transactions FROM raw GROUP BY upload""",
     "row_position": f"{_PLACED} SELECT upload, row_idx, date, amount_text FROM placed",

@@ -21,6 +21,12 @@ CSV_DATE = "2024-01-30"
 GATE_CLOSED = datetime(2024, 1, 30, 23, 59, 59, tzinfo=timezone.utc)
 GATE_OPEN = datetime(2024, 1, 31, tzinfo=timezone.utc)
 ORDERS_AS_OF = datetime(2001, 8, 1, 12, tzinfo=timezone.utc)
+# A second before midnight, midnight, and after the last order.
+TICKS = (
+    datetime(1997, 12, 31, 23, 59, 59, tzinfo=timezone.utc),
+    datetime(1998, 1, 1, tzinfo=timezone.utc),
+    datetime(2002, 1, 1, tzinfo=timezone.utc),
+)
 EDITED_AT = datetime(2030, 1, 1, tzinfo=timezone.utc)
 MERGE_SPLIT = datetime(2024, 1, 16, tzinfo=timezone.utc)
 FORWARD_HEADER = ("Date", "Amount", "Description", "Owner")
@@ -80,6 +86,11 @@ def as_submissions(rows: DataFrame) -> DataFrame:
         .when(user % 2 == 0, F.lit("A"))
         .otherwise(F.lit("B"))
     )
+    return submissions_by(rows, reviewer)
+
+
+def submissions_by(rows: DataFrame, reviewer: Column) -> DataFrame:
+    """Labels from ``events``, given by ``reviewer``."""
     pairs = [F.lit(text) for pair in LABEL_OF_EVENT.items() for text in pair]
     return rows.select(
         F.expr("7 * (event_id div 4)").alias(KEY),

@@ -11,6 +11,8 @@ from countersign.sources.scratch import scratch_folder
 from countersign.sources.snapshots import (
     append_submissions,
     latest_snapshot,
+    publish_snapshot,
+    read_snapshot,
     replace_snapshot,
     save_bucketed,
     stamp_batch,
@@ -25,7 +27,9 @@ __all__ = [
     "ledger_from_text",
     "parse_ledger_lines",
     "parse_state",
+    "publish_snapshot",
     "read_ledger",
+    "read_snapshot",
     "replace_snapshot",
     "save_bucketed",
     "save_state",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countersign.functions import iso_stamp
@@ -14,17 +14,36 @@ _TEXTS = "map<string,string>"
 _STRICT = {"allowSingleQuotes": "false"}
 
 
+def _last_of_each(entries: Column) -> Column:
+    """The entries of a map without those whose key comes again: in JSON the last one holds.
+
+    Only a map that repeats a key is sorted; sorting, not comparing all with all, keeps the cost
+    of a map with very many entries down.
+    """
+    placed = F.transform(F.map_entries(entries), lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))
+    ordered = F.array_sort(placed)
+    # Each entry beside the one after it; named inside a lambda, the sorted array would be made per entry.
+    pairs = F.arrays_zip(ordered.alias("this"), F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))).alias("next"))
+    last = F.filter(pairs, lambda p: ~p["this"]["key"].eqNullSafe(p["next"]["key"]))
+    single = F.map_from_entries(F.transform(last, lambda p: F.struct(p["this"]["key"], p["this"]["value"])))
+    keys = F.map_keys(entries)
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), single).otherwise(entries)
+
+
 def parse_state(rows: DataFrame, text: str = "value", key: str = "tx_id") -> DataFrame:
     """State texts as the long table ``(key, reviewer, assignment, ts, seq)``.
 
     A text that is not valid JSON stands for an empty state, and an entry that
     is no object for one without labels; entries are parsed one by one, so such
-    an entry leaves the others alone. NULL and empty labels are kept apart.
+    an entry leaves the others alone. Of a key that is repeated the last value holds, for
+    transactions as for reviewers. NULL and empty labels are kept apart.
     ``ts`` is the stamp of the whole entry, ``seq`` is 0: the text does not tell
     the order of the labels of one transaction.
     """
-    entries = rows.select(F.explode(F.from_json(text, _TEXTS, _STRICT)).alias(key, "_text"))
-    labels = entries.select(key, F.from_json("_text", _TEXTS, _STRICT).alias("_entry"))
+    states = rows.select(F.from_json(text, _TEXTS, _STRICT).alias("_state"))
+    entries = states.select(F.explode(_last_of_each(F.col("_state"))).alias(key, "_text"))
+    parsed = entries.select(key, F.from_json("_text", _TEXTS, _STRICT).alias("_entry"))
+    labels = parsed.select(key, _last_of_each(F.col("_entry")).alias("_entry"))
     stamp = F.try_to_timestamp(F.col("_entry")[STAMP_KEY])
     # The outer form keeps Spark from testing the parsed map in a filter of its
     # own, which would parse each entry three times. Rows without a reviewer

@@ -1,5 +1,6 @@
 """The review over incoming labels and files."""
 
+from countersign.streaming.gate import gate_opens_at, read_gate, run_live_gate, ticks
 from countersign.streaming.labels import (
     live_state,
     read_remaining,
@@ -18,14 +19,18 @@ from countersign.streaming.pickup import (
 
 __all__ = [
     "current_snapshot",
+    "gate_opens_at",
     "live_state",
     "new_uploads",
+    "read_gate",
     "read_history",
     "read_remaining",
     "read_state",
     "read_stats",
     "read_uploads",
     "run_daily_pickup",
+    "run_live_gate",
     "run_live_state",
     "run_live_stats",
+    "ticks",
 ]

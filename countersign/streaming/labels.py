@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,20 @@ from countersign.operators.status import all_submitted, labels_differ
 from countersign.rules import ReviewRules
 from countersign.streaming.runs import (
     BATCH,
-    BUCKET,
     COMPACT_EVERY,
-    bucket_of,
-    compact,
+    drop,
     ensure_log,
     newest_per_key,
-    read_log,
+    numbers,
     start_batches,
 )
+from countersign.streaming.tiers import KeyIndex, compact, read_log
 
 STATE_LOG = "state"
 COUNT_LOG = "counts"
 CHANGE = "change"
 SNAPSHOT = "snapshot"
+INDEX = "index"
 
 
 def live_state(stream: DataFrame, rules: ReviewRules, key: str = "tx_id") -> DataFrame:
@@ -58,9 +59,9 @@ def run_live_state(
 
     Update mode: each batch writes only the transactions it changed, into a
     folder named by the batch number, so a repeated batch replaces itself. Every
-    ``COMPACT_EVERY`` batches the log is folded into a base with one row per
-    transaction, so what a reader opens does not grow with the number of
-    batches. ``trigger`` is Spark's; by default the run ends with the data
+    ``COMPACT_EVERY`` batches are folded into a tier (:mod:`countersign.streaming.tiers`),
+    so neither what a reader opens grows with the number of batches nor what a
+    fold rewrites with the state. ``trigger`` is Spark's; by default the run ends with the data
     available now.
     ``folder`` must be shared by all executors; it holds the log and the
     checkpoint, which belong together. The number of state partitions is the
@@ -110,8 +111,9 @@ def run_live_stats(
 
     A second aggregation cannot follow the first one in the same update-mode
     stream, so a batch job takes the difference the changed transactions make.
-    The few changed keys are the build side of both joins; of the base of the
-    log only their buckets are read.
+    The few changed keys are the build side of both joins; of the log, and of an index
+    of the transactions' keys that is written once per snapshot, only their buckets are
+    read, so a batch costs the same for any number of transactions.
 
     ``transactions`` have unique keys, and ``snapshot`` names them, such as the
     upload they come from. The counts are kept with that name: labels stay when
@@ -127,8 +129,14 @@ def run_live_stats(
     ensure_log(transactions.agg(total).select("total", *zeros, named), counts)
     ensure_log(spark.createDataFrame([], live_state(stream, rules, key).schema), log)
 
+    index = KeyIndex(spark, f"{folder}/{INDEX}/{sha256(snapshot.encode()).hexdigest()[:16]}", key)
+    index.build(transactions)
+
     def store(summed: DataFrame, number: int) -> None:
         summed.write.mode("overwrite").parquet(f"{counts}/{BATCH}={number}")
+        # The one before is there for a batch that is repeated; -1 marks a log that has begun.
+        for old in [n for n in numbers(spark, counts, BATCH) if 0 <= n < number][:-1]:
+            drop(spark, f"{counts}/{BATCH}={old}")
 
     def counted_anew(spark: SparkSession, number: int) -> DataFrame:
         state = newest_per_key(read_log(log, spark, number + 1), key)
@@ -142,10 +150,7 @@ def run_live_stats(
             store(counted_anew(spark, number), number)
             return
         new = spark.read.parquet(f"{log}/{BATCH}={number}")
-        touched = [r[0] for r in new.select(bucket_of(key)).distinct().collect()]  # at most BUCKETS
-        earlier = read_log(log, spark, number)
-        if BUCKET in earlier.columns:
-            earlier = earlier.where(F.col(BUCKET).isNull() | F.col(BUCKET).isin(touched))
+        earlier = read_log(log, spark, number, touched=new, key=key)
         old = newest_per_key(earlier.join(new.select(key), key, "left_semi"), key)
 
         def share(state: DataFrame, sign: int) -> DataFrame:
@@ -154,7 +159,7 @@ def run_live_stats(
 
         change = share(new, 1).unionByName(share(old, -1))
         change.write.mode("overwrite").parquet(f"{folder}/{CHANGE}")
-        known = transactions.select(key).join(spark.read.parquet(f"{folder}/{CHANGE}"), key)
+        known = index.near(new).join(spark.read.parquet(f"{folder}/{CHANGE}"), key)
         sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in tallies]
         delta = known.agg(F.lit(0).cast("bigint").alias("total"), *sums)
         columns = ["total", *tallies]
@@ -172,11 +177,10 @@ def _newest_counts(
     spark: SparkSession, folder: str, before: int | None = None, *, keep_batch: bool = False
 ) -> DataFrame:
     """The counts of the newest batch, or of the newest one before a batch."""
-    log = spark.read.parquet(f"{folder}/{COUNT_LOG}")
-    if before is not None:
-        log = log.where(F.col(BATCH) < before)
-    newest = log.where(F.col(BATCH) == log.agg(F.max(BATCH)).scalar())
-    return newest if keep_batch else newest.drop(BATCH)
+    log = f"{folder}/{COUNT_LOG}"
+    number = max(n for n in numbers(spark, log, BATCH) if before is None or n < before)
+    newest = spark.read.parquet(f"{log}/{BATCH}={number}")
+    return newest.withColumn(BATCH, F.lit(number)) if keep_batch else newest
 
 
 def read_stats(spark: SparkSession, folder: str, gate: Column) -> DataFrame:

@@ -9,7 +9,8 @@ from countersign.functions import batch_day
 from countersign.operators.transactions import required_fields, transaction_fields, with_tx_id
 from countersign.sources.ledgers import LEDGER_COLUMNS, SOURCE_PATH, files_below, read_ledger
 from countersign.sources.positions import with_row_position
-from countersign.sources.snapshots import latest_snapshot, upload_id
+from countersign.sources.snapshots import upload_id
+from countersign.streaming.runs import parts_named
 
 HISTORY = "history"
 UPLOADS = "uploads"
@@ -83,15 +84,18 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, folder: str) -> DataFrame:
-    """The transactions of all uploads; no rows before the first one."""
-    if not read_uploads(spark, folder).head(1):
+    """The transactions of all uploads; no rows before the first one that has any."""
+    history = f"{folder}/{HISTORY}"
+    if not parts_named(spark, history, UPLOAD_ID):
         return spark.createDataFrame([], _HISTORY)
-    return spark.read.parquet(f"{folder}/{HISTORY}")
+    return spark.read.parquet(history)
 
 
 def current_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """The transactions of the newest upload: it replaces all before it.
 
-    The history is partitioned by upload, so only that partition is read.
+    Which one is the newest tells the log of uploads, so an upload without a valid row empties the
+    snapshot. The history is partitioned by upload, so only that partition is read.
     """
-    return latest_snapshot(read_history(spark, folder), UPLOAD_ID)
+    newest = read_uploads(spark, folder).agg(F.max(UPLOAD_ID)).scalar()
+    return read_history(spark, folder).where(F.col(UPLOAD_ID) == newest)

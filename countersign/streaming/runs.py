@@ -1,4 +1,4 @@
-"""Shared parts of the streaming jobs: batch logs and starting a run."""
+"""Shared parts of the streaming jobs: batches, their folders, and starting a run."""
 
 from __future__ import annotations
 
@@ -9,12 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 BATCH = "batch_id"
-BASE = "base"
-BUCKET = "bucket"
-# The log is folded into a base every so many batches; its rows lie in so many
-# buckets by key.
+# So many batches are folded into a tier at once.
 COMPACT_EVERY = 8
-BUCKETS = 64
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,84 +22,37 @@ def ensure_log(start: DataFrame, log: str) -> None:
 
 def newest_per_key(log: DataFrame, key: str, *, keep_batch: bool = False) -> DataFrame:
     """For each key its row from the newest batch; a batch has a key once."""
-    values = [c for c in log.columns if c not in (key, BATCH, BUCKET)]
+    values = [c for c in log.columns if c not in (key, BATCH)]
     newest = log.groupBy(key).agg(F.max(F.struct(BATCH, *values)).alias("_newest"))
     kept = [BATCH, *values] if keep_batch else values
     return newest.select(key, *(F.col("_newest").getField(c).alias(c) for c in kept))
 
 
-def bucket_of(key: str):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
-
-
-def read_log(log: str, spark: SparkSession, before: int | None = None) -> DataFrame:
-    """The newest base of a log and the batches after it, at most ``COMPACT_EVERY``.
-
-    With ``before``, the log as it was ahead of that batch. Every row carries its
-    batch number and bucket; bases older than the newest are not opened.
-    """
-    limit = float("inf") if before is None else before
-    numbers = _numbers(spark, log, BATCH)
-    bases = [n for n in _numbers(spark, f"{log}-{BASE}", BASE) if n < limit]
-    base = max(bases, default=None)
-    after = [n for n in numbers if (base is None or n > base) and n < limit]
-    parts = []
-    if base is not None:
-        parts.append(spark.read.parquet(f"{log}-{BASE}/{BASE}={base}"))
-    parts += [
-        spark.read.parquet(f"{log}/{BATCH}={n}").withColumn(BATCH, F.lit(n).cast("bigint"))
-        for n in after
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def compact(log: str, spark: SparkSession, key: str, number: int) -> None:
-    """Fold all batches up to ``number`` into one base with a row per key.
-
-    The base is written whole before batches go: those it replaces stay until
-    the next base, so that readers at work and a repeated batch still find them.
-    A repeated compaction replaces itself.
-    """
-    rows = newest_per_key(read_log(log, spark, number + 1), key, keep_batch=True)
-    earlier = [n for n in _numbers(spark, f"{log}-{BASE}", BASE) if n < number]
-    (
-        rows.withColumn(BUCKET, bucket_of(key))
-        .repartition(BUCKETS, BUCKET)
-        .write.mode("overwrite")
-        .partitionBy(BUCKET)
-        .parquet(f"{log}-{BASE}/{BASE}={number}")
-    )
-    for base in earlier[:-1]:
-        _drop(spark, f"{log}-{BASE}/{BASE}={base}")
-    if earlier:
-        for n in _numbers(spark, log, BATCH):
-            if 0 <= n <= earlier[-1]:
-                _drop(spark, f"{log}/{BATCH}={n}")
-
-
 def _store(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
-    """Numbers of the finished parts ``name=<number>`` of a folder, in order."""
+def parts_named(spark: SparkSession, folder: str, name: str, *, finished: bool = False) -> list[str]:
+    """What follows ``name=`` in the names of the (finished) parts of a folder."""
     store, path = _store(spark, folder)
     if not store.exists(path):
         return []
     done = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(
-        int(part.getPath().getName().partition("=")[2])
+    return [
+        part.getPath().getName().partition("=")[2]
         for part in store.listStatus(path)
         if part.getPath().getName().startswith(f"{name}=")
-        and store.exists(done(part.getPath(), "_SUCCESS"))
-    )
+        and (not finished or store.exists(done(part.getPath(), "_SUCCESS")))
+    ]
+
+
+def numbers(spark: SparkSession, folder: str, name: str, *, finished: bool = True) -> list[int]:
+    """Numbers of the (finished) parts ``name=<number>`` of a folder, in order."""
+    return sorted(map(int, parts_named(spark, folder, name, finished=finished)))
 
 
-def _drop(spark: SparkSession, folder: str) -> None:
+def drop(spark: SparkSession, folder: str) -> None:
     store, path = _store(spark, folder)
     store.delete(path, True)
 

@@ -16,7 +16,9 @@ from countersign.sources import (
     ledger_from_text,
     parse_ledger_lines,
     parse_state,
+    publish_snapshot,
     read_ledger,
+    read_snapshot,
     replace_snapshot,
     save_bucketed,
     save_state,
@@ -401,3 +403,38 @@ def test_a_reviewer_called_like_the_stamp_does_not_end_the_save(spark):
     assert "stranger" in state_lines(latest).head().value
     only = state_lines(latest, rules=ReviewRules.of("A", "B")).head().value
     assert only == '{"t":{"A":"B","lastUpdated":"2024-01-01T00:00:00.000Z"}}'
+
+
+def test_readers_keep_their_rows_while_a_snapshot_is_replaced(spark, tmp_path):
+    folder = str(tmp_path / "published")
+    with pytest.raises(ValueError, match="nothing is published"):
+        read_snapshot(spark, folder)
+    assert publish_snapshot(spark.range(5), folder) == 0
+    started = read_snapshot(spark, folder)
+    assert publish_snapshot(spark.range(9), folder) == 1
+    assert started.count() == 5 and read_snapshot(spark, folder).count() == 9
+    # Another writer has put its pointer first: the number after it is taken.
+    (tmp_path / "published/published/000000000002").write_text("elsewhere")
+    snapshots = __import__("countersign.sources.snapshots", fromlist=["x"])
+    assert not snapshots._put_if_absent(spark, f"{folder}/published/000000000002", "mine")
+    (tmp_path / "published/published/000000000002").write_text((tmp_path / "published/published/000000000001").read_text())
+    assert publish_snapshot(spark.range(3), folder) == 3
+    assert read_snapshot(spark, folder).count() == 3
+    assert not list((tmp_path / "published/published").glob("*.tmp"))
+
+
+def test_last_of_repeated_keys_holds(spark):
+    texts = [
+        '{"t1":{"Ann":"Z","Ann":"A","Ben":null},"t2":{"Ann":"x"},"t1":{"Ann":"Q","Ann":"A"}}',
+        '{"t3":{"Ann":"","Ann":"B","lastUpdated":"2024-01-01T00:00:00.000Z","lastUpdated":"2024-01-02T00:00:00.000Z"}}',
+        '{"t4":{"Ann":"B"},"t4":7}',
+    ]
+    rows = parse_state(spark.createDataFrame([(t,) for t in texts], "value string"))
+    assert rows_of(rows, "tx_id", "reviewer", "assignment", "ts") == [
+        ("t1", "Ann", "A", None),
+        ("t2", "Ann", "x", None),
+        ("t3", "Ann", "B", datetime(2024, 1, 2)),
+    ]
+    many = "{" + ",".join(f'"k{i % 20000}":{{"A":"{i}"}}' for i in range(40000)) + "}"
+    got = parse_state(spark.createDataFrame([(many,)], "value string"))
+    assert got.count() == 20000 and got.where("assignment < 20000").count() == 0

@@ -12,15 +12,19 @@ from countersign import operators as op
 from countersign.functions import iso_stamp
 from countersign.streaming import (
     current_snapshot,
+    read_gate,
     read_history,
     read_remaining,
     read_state,
     read_stats,
     run_daily_pickup,
+    run_live_gate,
     run_live_state,
     run_live_stats,
+    ticks,
 )
-from countersign.streaming.runs import BATCH, COMPACT_EVERY, read_log
+from countersign.streaming.runs import BATCH, COMPACT_EVERY
+from countersign.streaming.tiers import KeyIndex, compact, parts_of, read_log
 from tests import model
 from tests.plans import plan_of
 
@@ -233,3 +237,126 @@ def test_failed_run_is_repeated_in_place(spark, tmp_path):
     shutil.rmtree(tmp_path / "uploads")  # as if the run had ended before it noted its uploads
     assert run_daily_pickup(spark, str(inbox), str(tmp_path)) == 1
     assert read_history(spark, str(tmp_path)).count() == 1
+
+
+def appended(spark, log, number, keys, label):
+    """One more batch of a log: ``keys`` with a label."""
+    rows = spark.createDataFrame([(k, label) for k in keys], "tx_id string, label_0 string")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{log}/{BATCH}={number}")
+
+
+def test_folds_rewrite_what_changes_not_the_state(spark, tmp_path):
+    rng, log = random.Random(4), str(tmp_path / "log")
+    appended(spark, log, -1, [], "")
+    want = {}
+    written = []
+    for number in range(9):
+        # The first batch is the whole state; the others change a few rows each.
+        keys = [f"k{i}" for i in range(3000)] if number == 0 else rng.sample([f"k{i}" for i in range(3000)], 12)
+        appended(spark, log, number, keys, f"at {number}")
+        want |= dict.fromkeys(keys, f"at {number}")
+        written.append(compact(log, spark, "tx_id", number, bucket_rows=100))
+        assert read_log(log, spark).select("tx_id").distinct().count() == 3000
+    # Each changed row is written by its fold and again when tiers of its size meet.
+    assert sum(written[1:]) <= 8 * 12 * 2 * 4 < 3000
+    latest = read_log(log, spark).groupBy("tx_id").agg(F.max_by("label_0", BATCH).alias("label"))
+    assert {r.tx_id: r.label for r in latest.collect()} == want
+    _, parts = parts_of(log, spark)
+    assert max(p.bits for p in parts) >= 5 and len({p.tier for p in parts}) <= 5
+    # Few buckets are opened for few keys, and they hold these keys.
+    some = spark.createDataFrame([("k1",), ("k2",)], "tx_id string")
+    opened = read_log(log, spark, touched=some, key="tx_id")
+    assert {"k1", "k2"} <= {r.tx_id for r in opened.collect()} and opened.count() < 500
+
+
+def test_fold_takes_over_untouched_buckets_and_splits_grown_ones(spark, tmp_path):
+    log = str(tmp_path / "log")
+    appended(spark, log, -1, [], "")
+    appended(spark, log, 0, [f"k{i}" for i in range(64)], "first")
+    compact(log, spark, "tx_id", 0, bucket_rows=8)
+    _, before = parts_of(log, spark)
+    # As many rows as one bucket holds, all of that bucket.
+    one = [r.tx_id for r in spark.read.parquet(before[0].path).collect()]
+    appended(spark, log, 1, one, "second")
+    assert compact(log, spark, "tx_id", 1, bucket_rows=8) == 2 * len(one)
+    _, after = parts_of(log, spark)
+    assert {p.path for p in before[1:]} <= {p.path for p in after} and before[0].path not in {p.path for p in after}
+    appended(spark, log, 2, [f"n{i}" for i in range(400)], "third")
+    compact(log, spark, "tx_id", 2, bucket_rows=8)
+    compact(log, spark, "tx_id", 2, bucket_rows=8)  # a repeated fold replaces itself
+    _, grown = parts_of(log, spark)
+    assert max(p.bits for p in grown) > max(p.bits for p in before)
+    labels = read_log(log, spark).groupBy("tx_id").agg(F.max_by("label_0", BATCH).alias("l")).groupBy("l").count()
+    assert {r.l: r["count"] for r in labels.collect()} == {"first": 64 - len(one), "second": len(one), "third": 400}
+    assert read_log(log, spark, 2).select("tx_id").distinct().count() == 64
+
+
+@pytest.mark.parametrize("size", [500, 5000])
+def test_key_index_opens_the_same_for_any_number_of_transactions(spark, tmp_path, size):
+    rows = spark.range(size).selectExpr("concat('k', id) AS tx_id")
+    index = KeyIndex(spark, str(tmp_path / "index"), "tx_id")
+    index.build(rows, bucket_rows=50)
+    index.build(rows.limit(0))  # one that is there stays
+    keys = spark.createDataFrame([("k3",), ("k77",), ("absent",)], "tx_id string")
+    near = index.near(keys)
+    assert {r.tx_id for r in near.join(keys, "tx_id").collect()} == {"k3", "k77"}
+    assert near.count() <= 3 * 3 * 50
+
+
+def test_batches_and_counts_stay_few(spark, tmp_path):
+    folder = str(tmp_path)
+    for n in range(COMPACT_EVERY + 3):
+        inbox_of(spark, tmp_path, [(KEYS[n], "A", "A", START + timedelta(hours=n), n)])
+    run_live_stats(stream_of(spark, tmp_path), transactions(spark), RULES, folder).awaitTermination()
+    assert len(list((tmp_path / "counts").glob("batch_id=*"))) == 3
+    assert tuple(read_stats(spark, folder, F.lit(True)).head()) == (25, 0, 0, 25)
+
+
+def test_gate_opens_without_a_label(spark, tmp_path):
+    folder = str(tmp_path)
+    day = "2024-01-01"
+    rows = [("a", "A", "A"), ("a", "B", "B"), ("b", "A", "A"), ("b", "B", "A"), ("c", "A", "A"), ("c", "B", "B"), ("d", "A", "B"), ("d", "B", "A")]
+    inbox_of(spark, tmp_path, [(*r, START, n) for n, r in enumerate(rows)])
+    run_live_state(stream_of(spark, tmp_path), RULES, folder).awaitTermination()
+    dates = [("a", day), ("b", day), ("c", "2024-01-02T10:00:00Z"), ("d", None), ("e", day)]
+    tx = spark.createDataFrame(dates, "tx_id string, csv_date string")
+    moments = [timedelta(hours=23, minutes=59, seconds=59), timedelta(hours=24), timedelta(hours=24), timedelta(hours=3), timedelta(hours=57, minutes=59), timedelta(days=9)]
+
+    def shown():
+        return sorted((r.tx_id, r.opened_at.replace(tzinfo=timezone.utc) - START) for r in read_gate(spark, folder).collect())
+
+    seen = []
+    for n, moment in enumerate(moments):
+        spark.createDataFrame([(START + moment,)], "now timestamp").coalesce(1).write.mode("append").parquet(f"{folder}/ticks")
+        clock = spark.readStream.schema("now timestamp").parquet(f"{folder}/ticks")
+        run_live_gate(clock, tx, RULES, folder).awaitTermination()
+        seen.append(shown())
+        if n == 1:  # a run that dies before its commit shows nothing twice
+            for path in (tmp_path / "gate/checkpoint/commits").glob("*1*"):
+                path.unlink()
+            run_live_gate(clock, tx, RULES, folder).awaitTermination()
+            assert shown() == seen[-1]
+    assert seen[0] == [] and seen[1] == seen[2] == seen[3] == seen[4] == [("a", timedelta(hours=24))]
+    assert seen[5] == [("a", timedelta(hours=24)), ("c", timedelta(days=9))]
+
+
+def test_clock_stream_moves_on(spark, tmp_path):
+    clock = ticks(spark, START, 3_600_000)
+    run = clock.writeStream.format("memory").queryName("clock").trigger(availableNow=True).option("checkpointLocation", str(tmp_path)).start()
+    run.awaitTermination()
+    assert spark.table("clock").first().now.replace(tzinfo=timezone.utc) == START
+
+
+def test_upload_without_rows_empties_the_snapshot(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "a.csv").write_text("Date,Amount\n")
+    assert run_daily_pickup(spark, str(inbox), str(tmp_path)) == 1
+    assert read_history(spark, str(tmp_path)).count() == current_snapshot(spark, str(tmp_path)).count() == 0
+    (inbox / "b.csv").write_text("Date,Amount\n2024-01-01,1\n2024-01-01,2\n")
+    run_daily_pickup(spark, str(inbox), str(tmp_path))
+    assert current_snapshot(spark, str(tmp_path)).count() == 2
+    (inbox / "c.csv").write_text("Date,Amount\n,1\n")
+    assert run_daily_pickup(spark, str(inbox), str(tmp_path)) == 1
+    assert current_snapshot(spark, str(tmp_path)).count() == 0
+    assert read_history(spark, str(tmp_path)).count() == 2
