@@ -46,6 +46,7 @@ from countersign.operators.views import (
     tx_reviewer_matrix,
     unassigned_by_reviewer,
     visible_assignments,
+    write_backlog,
 )
 
 __all__ = [
@@ -84,4 +85,5 @@ __all__ = [
     "with_labels",
     "with_status",
     "with_tx_id",
+    "write_backlog",
 ]

@@ -9,18 +9,22 @@ from countersign.operators.status import open_item, remaining_for
 from countersign.rules import ALERT_TEXT, BANNER_TEXT, ReviewRules
 
 
+def review_counts(conflict: Column, submitted: Column) -> list[Column]:
+    """``total, assigned, conflicts, pending`` as aggregates."""
+    return [
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(submitted & ~conflict).alias("assigned"),
+        F.count_if(conflict).alias("conflicts"),
+        F.count_if(open_item(conflict, submitted)).alias("pending"),
+    ]
+
+
 def review_stats(flags: DataFrame, *by: str) -> DataFrame:
     """``total, assigned, conflicts, pending``, overall or per ``by``.
 
     Needs the columns ``submitted`` and ``conflict``.
     """
-    conflict, submitted = F.col("conflict"), F.col("submitted")
-    return flags.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(submitted & ~conflict).alias("assigned"),
-        F.count_if(conflict).alias("conflicts"),
-        F.count_if(open_item(conflict, submitted)).alias("pending"),
-    )
+    return flags.groupBy(*by).agg(*review_counts(F.col("conflict"), F.col("submitted")))
 
 
 def review_summary(stats: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from countersign.functions import filled, is_filled
 from countersign.operators.assignments import reviewer_labels
+from countersign.operators.stats import review_counts
 from countersign.operators.status import open_item
 from countersign.rules import MISSING_IN_OWN_VIEW, MISSING_IN_SHARED_VIEW, ReviewRules
 
@@ -26,6 +27,18 @@ def backlog(reviewed: DataFrame) -> DataFrame:
     return with_rank_key(reviewed).orderBy("rank_key", "row_idx")
 
 
+def write_backlog(reviewed: DataFrame, path: str) -> dict[str, int]:
+    """Write the backlog and return its ``total, assigned, conflicts, pending``.
+
+    The counts are taken of the rows that are written, as they are written: no second pass, and
+    no other rows than those in the files. Above the sort, whose sampling would count rows twice.
+    """
+    seen = Observation()
+    counts = review_counts(F.col("conflict"), F.col("submitted"))
+    backlog(reviewed).observe(seen, *counts).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def own_submission(
     transactions: DataFrame,
     submissions: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from countersign import operators as op
@@ -30,7 +30,9 @@ from countersign.sources import (
     publish_snapshot,
     read_ledger,
     read_snapshot,
+    read_state_document,
     save_state,
+    save_state_document,
     scratch_folder,
     stamp_batch,
     state_lines,
@@ -276,6 +278,35 @@ def _state_from_json(spark, folder):
     )
 
 
+def _document(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """All labels as one JSON document in several parts; where it is, and its parts."""
+    latest = op.latest_assignment(t.submissions(spark, folder), t.KEY)
+    path = f"{scratch_folder(spark, 'document')}/state"
+    return path, save_state_document(latest, path, t.KEY, t.RULES, parts=5)
+
+
+@query("state_document_out")
+def _state_document_out(spark, folder):
+    """Every line of the document with the byte at which it begins."""
+    path, parts = _document(spark, folder)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("part"))
+    key = F.regexp_extract("value", r'^.?"([^"]*)"', 1)
+    before = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0))
+    placed = lines.withColumn("key", key).withColumn("within", within).join(parts, "part")
+    return placed.select((F.col("offset") + F.col("within")).alias("byte"), F.col("value").alias("line"))
+
+
+@query("state_document_in")
+def _state_document_in(spark, folder):
+    """The document read back, its parts in several blocks each."""
+    path, parts = _document(spark, folder)
+    largest = parts.agg(F.max("bytes")).first()[0]
+    with t.block_size(spark, max(1 << 10, largest // 3)):
+        rows = read_state_document(spark, path, scratch_folder(spark, "landing"), in_parts=True)
+    return rows.select(F.col("tx_id").alias("tx_key"), "reviewer", "assignment")
+
+
 @query("state_repeated_keys")
 def _state_repeated_keys(spark, folder):
     """State texts in which transactions and reviewers come more than once."""
@@ -494,6 +525,15 @@ def _backlog(spark, folder):
     return ordered.select("rank_key", "row_idx", "tx_id", "status", "amount", "description")
 
 
+@query("backlog_with_counts")
+def _backlog_with_counts(spark, folder):
+    """The backlog as written, beside the counts taken while it was."""
+    path = f"{scratch_folder(spark, 'backlog')}/rows"
+    counts = op.write_backlog(_review(spark, folder), path)
+    columns = [F.lit(value).cast("bigint").alias(name) for name, value in counts.items()]
+    return spark.read.parquet(path).select("rank_key", "row_idx", "status", *columns)
+
+
 @query("own_submission")
 def _own_submission(spark, folder):
     tx, labels = t.transactions(spark, folder), t.submissions(spark, folder)

@@ -179,6 +179,22 @@ FROM orders GROUP BY 1""",
 SELECT CAST(row_idx AS VARCHAR) AS tx_key, reviewer, assignment,
        {_ISO.format('max(ts) OVER (PARTITION BY row_idx)')} AS stamp
 FROM latest WHERE row_idx % 11 <> 0""",
+    "state_document_in": f"""{_LABELS}
+SELECT CAST(row_idx AS VARCHAR) AS tx_key, reviewer, assignment FROM latest WHERE reviewer IN ('A', 'B')""",
+    "state_document_out": f"""{_LABELS},
+entries AS (
+  SELECT CAST(row_idx AS VARCHAR) AS id,
+         '"' || CAST(row_idx AS VARCHAR) || '":{{' ||
+         string_agg('"' || reviewer || '":"' || assignment || '"', ',' ORDER BY reviewer) ||
+         ',"lastUpdated":"' || {_ISO.format('max(ts)')} || '"}}' AS entry
+  FROM latest WHERE reviewer IN ('A', 'B') GROUP BY row_idx),
+lines AS (
+  SELECT id, CASE WHEN id = min(id) OVER () THEN '{{' ELSE ',' END || entry ||
+         CASE WHEN id = max(id) OVER () THEN '}}' ELSE '' END AS line
+  FROM entries)
+SELECT CAST(coalesce(sum(strlen(line) + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+         AS byte, line
+FROM lines""",
     "state_to_json": f"""{_LABELS}
 SELECT row_idx,
        '{{"' || CAST(row_idx AS VARCHAR) || '":{{' ||
@@ -241,6 +257,10 @@ FROM gated GROUP BY as_of""",
 SELECT CASE WHEN differs OR NOT submitted THEN 0 ELSE 1 END AS rank_key, row_idx, tx_id,
        {_STATUS.format('differs')} AS status, amount, description
 FROM judged ORDER BY 1, 2""",
+    "backlog_with_counts": f"""{_FULL}, {_STATS}
+SELECT CASE WHEN differs OR NOT submitted THEN 0 ELSE 1 END AS rank_key, row_idx,
+       {_STATUS.format('differs')} AS status, total, assigned, conflicts, pending
+FROM judged, stats""",
     "own_submission": f"""{_OWN}
 SELECT tx.tx_id, nullif(m.assignment, '') AS own
 FROM tx LEFT JOIN mine AS m ON m.row_idx = tx.row_idx""",

@@ -18,6 +18,7 @@ from countersign.sources.snapshots import (
     stamp_batch,
     upload_id,
 )
+from countersign.sources.state_document import read_state_document, save_state_document
 from countersign.sources.state_json import parse_state, save_state, state_lines
 
 __all__ = [
@@ -30,9 +31,11 @@ __all__ = [
     "publish_snapshot",
     "read_ledger",
     "read_snapshot",
+    "read_state_document",
     "replace_snapshot",
     "save_bucketed",
     "save_state",
+    "save_state_document",
     "scratch_folder",
     "stamp_batch",
     "state_lines",

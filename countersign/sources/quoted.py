@@ -34,7 +34,7 @@ _ROW_GROUP = str(1 << 30)
 
 
 @contextmanager
-def _one_split(spark: SparkSession):
+def one_split(spark: SparkSession):
     """Files are cut alike in all jobs inside, also if executors come or go."""
     name = "spark.sql.files.minPartitionNum"
     before = spark.conf.get(name, None)
@@ -137,7 +137,7 @@ def quoted_records(
     has the address of the next byte as its block, which keeps the order of the file. A quote that
     is never closed makes the rest of its file one record, as in any reader.
     """
-    with _one_split(spark):
+    with one_split(spark):
         lines = (
             spark.read.options(lineSep="\n", **options)
             .text(source)
