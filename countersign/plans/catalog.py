@@ -39,7 +39,10 @@ from countersign.sources import (
     with_row_position,
 )
 from countersign.streaming import (
+    build_backlog,
     current_snapshot,
+    merge_backlog,
+    read_backlog,
     read_gate,
     read_history,
     read_remaining,
@@ -612,6 +615,21 @@ def _live_remaining(spark, folder):
     return read_remaining(spark, _counted_live(spark, folder), t.RULES, _open_gate())
 
 
+@query("live_backlog")
+def _live_backlog(spark, folder):
+    """The backlog of the early labels, then the transactions of later labels brought to their places."""
+    work = scratch_folder(spark, "backlog")
+    tx, labels = t.transactions(spark, folder), t.submissions(spark, folder)
+    early = labels.where(F.col("ts") < instant(t.MERGE_SPLIT))
+    rows = max(1000, tx.count() // 12)
+    review = lambda some, given: op.review(some, given, t.RULES, t.CSV_DATE, t.GATE_OPEN, t.KEY)
+    build_backlog(review(tx, early), work, range_rows=rows)
+    later = labels.where(F.col("ts") >= instant(t.MERGE_SPLIT)).select(t.KEY).distinct()
+    changed = tx.join(later, t.KEY, "left_semi")
+    merge_backlog(review(changed, labels), work, range_rows=rows)
+    return read_backlog(spark, work).select("rank_key", "row_idx", "tx_id", "status", "amount", "description")
+
+
 @query("live_gate")
 def _live_gate(spark, folder):
     """Conflicts by the tick of the clock that made them visible; no label arrives meanwhile."""

@@ -261,6 +261,10 @@ FROM judged ORDER BY 1, 2""",
 SELECT CASE WHEN differs OR NOT submitted THEN 0 ELSE 1 END AS rank_key, row_idx,
        {_STATUS.format('differs')} AS status, total, assigned, conflicts, pending
 FROM judged, stats""",
+    "live_backlog": f"""{_FULL}
+SELECT CASE WHEN differs OR NOT submitted THEN 0 ELSE 1 END AS rank_key, row_idx, tx_id,
+       {_STATUS.format('differs')} AS status, amount, description
+FROM judged""",
     "own_submission": f"""{_OWN}
 SELECT tx.tx_id, nullif(m.assignment, '') AS own
 FROM tx LEFT JOIN mine AS m ON m.row_idx = tx.row_idx""",

@@ -1,5 +1,6 @@
 """The review over incoming labels and files."""
 
+from countersign.streaming.backlog import build_backlog, merge_backlog, read_backlog
 from countersign.streaming.gate import gate_opens_at, read_gate, run_live_gate, ticks
 from countersign.streaming.labels import (
     live_state,
@@ -18,10 +19,13 @@ from countersign.streaming.pickup import (
 )
 
 __all__ = [
+    "build_backlog",
     "current_snapshot",
     "gate_opens_at",
     "live_state",
+    "merge_backlog",
     "new_uploads",
+    "read_backlog",
     "read_gate",
     "read_history",
     "read_remaining",
