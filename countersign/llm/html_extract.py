@@ -16,8 +16,8 @@ Character references are decoded, white space in a block becomes one space, bloc
 and joined by blank lines; nothing is cut.
 
 Edge cases: NULL, empty or text-free html gives the empty text; unclosed and stray tags are read
-as browsers do in the common cases (paragraphs, items, cells and options close themselves, blocks
-end an open ``svg`` or ``math``); text outside
+in time linear in the page, and as browsers do in the common cases (paragraphs, items, cells and options close themselves, blocks
+end an open ``svg`` or ``math``); a tag that never ends, as by an unclosed quote, is text; text outside
 any markup is a page of its own kind and is kept; very deep trees are read without recursion;
 repeated rows give repeated results; an empty table gives an empty result; other columns pass
 through, columns of the result's names are replaced.
@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 SAMPLE_PAGES = 300
 _BATCH_NODES = 20_000
 TREES, LEAVES_DEPTH, RATE, BINS = 50, 4, 0.2, 32
@@ -76,10 +78,10 @@ _GROUPS = {
 }
 _GROUP_OF = {word: i for i, words in enumerate(_GROUPS.values()) for word in words.split()}
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
-_TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>", re.S
-)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: What may begin a comment, a declaration or a tag; a tag ends at the first ``>`` outside quotes.
+_MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>\"'<]*+))")
+_STOP = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _BLANK = re.compile(r"\s+")
 
@@ -112,23 +114,76 @@ def _tokens(name: str, attributes: str) -> list[str]:
     return out
 
 
+class Tags:
+    """The markup of a page from left to right, in time linear in the page whatever its quotes do."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self._last = page.rfind(">")
+        # Opening quotes from which no tag ends, and the stop that follows the places looked at last.
+        self._dead: set[int] = set()
+        self._from = self._stop = -1
+
+    def _next_stop(self, at: int) -> int:
+        if not self._from <= at <= self._stop:
+            found = _STOP.search(self.page, at)
+            self._from, self._stop = at, found.start() if found else len(self.page)
+        return self._stop
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` has its ``>``; -1 if nowhere."""
+        page, size, opened = self.page, len(self.page), []
+        stop = self._next_stop(at)
+        while stop < size and page[stop] != ">":
+            if stop in self._dead:
+                break
+            opened.append(stop)
+            close = page.find(page[stop], stop + 1)
+            if close < 0:
+                break
+            found = _STOP.search(page, close + 1)
+            stop = found.start() if found else size
+        else:
+            if stop < size:
+                return stop
+        self._dead.update(opened)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """Of the next markup from ``at`` on: start, end, whether an end tag, name (None: no tag), attributes."""
+        page = self.page
+        while m := _MARKUP.search(page, at):
+            start = m.start()
+            if m.group(1):
+                end = page.find("-->", m.end())
+                return start, len(page) if end < 0 else end + 3, False, None, ""
+            if m.group(2):
+                if m.end() <= self._last:
+                    return start, page.index(">", m.end()) + 1, False, None, ""
+            elif m.end() <= self._last and (end := self._end(m.end())) >= 0:
+                return start, end + 1, bool(m.group(3)), m.group(4), page[m.end() : end]
+            at = start + 1
+        return None
+
+
 def parse(page: str) -> Node:
     """The tree of elements; scripts, styles, titles and the like leave no text."""
     root = node = Node("#root", (), None)
     at, size = 0, len(page)
+    tags = Tags(page)
     while at < size:
-        m = _TAG.search(page, at)
-        if not m:
+        found = tags.after(at)
+        if not found:
             node.children.append(page[at:])
             break
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        name = m.group(2)
+        start, end, closing, name, attributes = found
+        if start > at:
+            node.children.append(page[at:start])
+        at = end
         if name is None:
             continue
         name = name.lower()
-        if m.group(1):
+        if closing:
             up = node
             while up is not root and up.name != name:
                 # An end tag does not reach out of its block, as for stray inline ends.
@@ -150,13 +205,13 @@ def parse(page: str) -> Node:
             if name in ("br", "hr", "img", "wbr", "input"):
                 node.children.append(" ")
             continue
-        if name in _RAW and not m.group(3).endswith("/"):
+        if name in _RAW and not attributes.endswith("/"):
             end = _ENDS[name].search(page, at)
             at = end.end() if end else size
             continue
-        child = Node(name, _tokens(name, m.group(3)), node)
+        child = Node(name, _tokens(name, attributes), node)
         node.children.append(child)
-        if not (m.group(3).endswith("/") and (node.foreign or child.foreign)):
+        if not (attributes.endswith("/") and (node.foreign or child.foreign)):
             node = child
     return root
 
@@ -484,8 +539,15 @@ def training_rows(pages: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Boosted:
     """Trees from a bounded sample of ``pages`` (page_id, html) that say where their main text is."""
     telling = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b") & (F.length("html") < 100_000))
-    order = F.xxhash64(F.col("page_id").cast("string"))
-    sample = [r.html for r in telling.select("page_id", "html").orderBy(order, "page_id").limit(sample_pages).collect()]
+    rows = telling.select(
+        F.xxhash64(F.col("page_id").cast("string")).alias("key"), "page_id", F.xxhash64("html").alias("of"), "html"
+    )
+    # Ids first: only pages that are used travel whole, and of repeated rows one.
+    least = rows.select("key", "page_id", "of").distinct().orderBy("key", "page_id", "of").limit(sample_pages)
+    chosen = checkpointed(least)
+    same = [rows[c].eqNullSafe(chosen[c]) for c in ("key", "page_id", "of")]
+    whole = rows.join(F.broadcast(chosen), same, "left_semi").groupBy("key", "page_id", "of").agg(F.first("html").alias("html"))
+    sample = [r.html for r in whole.orderBy("key", "page_id", "of").collect()]
     x, y, weight = training_rows(sample)
     return boost(x, y, weight) if len(y) else Boosted(2.0, [])
 

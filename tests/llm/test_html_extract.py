@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -113,6 +114,50 @@ def test_query(spark):
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<a '\"", "<a ", "<!x", "<a<b", '<a "\'" \'', "<a b=c", "<" + "a" * 50])
+def test_tags_that_never_end_take_linear_time(unit):
+    page = "<p>one</p>" + unit * (1_000_000 // len(unit))
+    start = time.perf_counter()
+    assert h.extract([page], h.Boosted(3.0, []))[0].startswith("one")
+    assert h.extract([page + ">"], h.Boosted(3.0, []))[0].startswith("one")
+    assert time.perf_counter() - start < 30
+
+
+def test_long_attributes_take_linear_time():
+    start = time.perf_counter()
+    assert h.extract(["<p " + "a" * 1_000_000 + ">one"], h.Boosted(3.0, [])) == ["one"]
+    assert time.perf_counter() - start < 10
+
+
+def plain_end(page, at):
+    """The ``>`` of a tag found character by character."""
+    quote = ""
+    for i in range(at, len(page)):
+        if quote:
+            quote = "" if page[i] == quote else quote
+        elif page[i] in "\"'":
+            quote = page[i]
+        elif page[i] == ">":
+            return i
+    return -1
+
+
+def test_ends_of_tags_equal_a_plain_scan():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        page = "".join(rng.choice(["<a ", "<b", '"', "'", ">", " ", "x"]) for _ in range(40))
+        tags, at, got, want = h.Tags(page), 0, [], []
+        while found := tags.after(at):
+            got.append(found[:2])
+            at = found[1]
+        at = 0
+        while m := re.compile(r"<[ab]").search(page, at):
+            end = plain_end(page, m.end())
+            want += [(m.start(), end + 1)] if end >= 0 else []
+            at = end + 1 if end >= 0 else m.start() + 1
+        assert got == want
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", None, "a"), (1, "u", None, "a"), (2, None, "", "b"), (None, "v", "<p>x &amp; y</p>", None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
