@@ -77,8 +77,10 @@ def mix(
     the cut gives its first ``rest`` words only, so the budget is met to the word.
     """
     made = ("size", "source_size", "target", "taken", "repeats", "rest")
-    carried = [c for c in documents.columns if c not in made and (keep_text or c != "text")]
-    narrow = checkpointed(documents.select(*carried, word_count(F.col("text")).alias("size")))
+    carried = [c for c in documents.columns if c.lower() not in made and (keep_text or c.lower() != "text")]
+    # Columns that only pass through stay in one struct, so that no name clashes with one used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")
+    narrow = checkpointed(documents.select(row, "doc_id", "source", word_count(F.col("text")).alias("size")))
     targets = source_targets(narrow, weights, most_epochs)
     key = random_key(F.col("doc_id"))
     width = (1 << _KEY_BITS) // ranges
@@ -105,4 +107,4 @@ def mix(
         .withColumn("rest", F.least(F.greatest(F.col("_left"), F.lit(0)), F.col("size")).cast("long"))
         .withColumn("taken", F.col("repeats") * F.col("size") + F.col("rest"))
     )
-    return plan.select(*carried, *made)
+    return plan.select("row.*", *made)

@@ -1,5 +1,7 @@
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from countersign.llm import mixing
 
 
@@ -48,3 +50,12 @@ def test_odd_rows(odd, none):
     assert got.count() == odd.count() and set(odd.columns) <= set(got.columns)
     assert sum(r.taken for r in got.collect()) <= sum(r.size for r in got.collect())
     assert mixing.mix(none).count() == 0
+
+
+def test_columns_with_inner_names_pass_through(documents):
+    names = ("_key", "_range", "_budget", "_left", "_before", "_inside", "row", "key", "Taken")
+    wide = documents.select("*", *[F.lit(f"v{n}").alias(n) for n in names])
+    got = mixing.mix(wide)
+    assert {tuple(r) for r in got.select(*names[:-1]).distinct().collect()} == {tuple(f"v{n}" for n in names[:-1])}
+    plain = {(r.doc_id, r.taken) for r in mixing.mix(documents).collect()}
+    assert {(r.doc_id, r.taken) for r in got.select("doc_id", "taken").collect()} == plain
