@@ -18,7 +18,9 @@ SENT_IDS = 1_000_000
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough; ``lang`` stays as declared."""
     small_batches(spark)
-    return document_languages(docs).where("accepted").select(*docs.columns)
+    # The document goes along as one column: it may have columns that are named like the results.
+    whole = docs.select(F.struct(*docs.columns).alias("document"), "text", "lang", "source")
+    return document_languages(whole).where("accepted").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,12 +115,13 @@ def identify(
 ) -> DataFrame:
     """``documents`` with ``language``, ``posterior``, ``text_language`` and ``accepted``."""
     made = ("language", "posterior", "text_language", "accepted")
-    carried = [c for c in documents.columns if c not in made]
+    # Columns that only pass through stay in one struct, so that no name clashes with one used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns if c.lower() not in made]).alias("_row")
     languages = model.languages
     if not languages:
         nothing = F.lit(None).cast("string")
-        return documents.select(
-            *carried, nothing.alias("language"), F.lit(0.0).alias("posterior"), nothing.alias("text_language"),
+        return documents.select(row).select(
+            "_row.*", nothing.alias("language"), F.lit(0.0).alias("posterior"), nothing.alias("text_language"),
             F.lit(False).alias("accepted"),
         )
 
@@ -141,7 +142,7 @@ def identify(
     names = F.array(*map(F.lit, languages))
     top = F.array_max(F.col("_t.s"))
     scored = documents.select(
-        *carried,
+        row,
         text_scores(text.cast("string")).alias("_t"),
         F.length(F.coalesce(text.cast("string"), F.lit(""))).alias("_chars"),
         known(declared).alias("_declared"),
@@ -203,7 +204,7 @@ def identify(
     decided = F.col("_t.s").isNotNull()
     enough = F.col("_t.letters") >= LEAST_LETTERS * F.col("_chars")
     return fused.select(
-        *carried,
+        "_row.*",
         F.when(decided, F.get(names, F.array_position("_log", F.col("_top")).cast("int") - 1)).alias("language"),
         F.when(decided, posterior).otherwise(0.0).alias("posterior"),
         "text_language",

@@ -1,3 +1,7 @@
+import math
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from countersign.llm import language
@@ -67,3 +71,53 @@ def test_odd_rows(odd, none):
     assert document_languages(none).count() == 0
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r.language for r in document_languages(unlabelled).collect()} == {None}
+
+
+def test_columns_with_inner_names_pass_through(spark, documents):
+    names = ("_t", "_host", "_suffix", "_declared", "_chars", "_row", "_prior", "_said", "_log", "_top", "_sum", "host")
+    wide = documents.select("*", *[F.lit(f"v{n}").alias(n) for n in names])
+    got = document_languages(wide)
+    assert {tuple(r) for r in got.select(*names).distinct().collect()} == {tuple(f"v{n}" for n in names)}
+    made = ("doc_id", "language", "posterior")
+    assert sorted(got.select(*made).collect()) == sorted(document_languages(documents).select(*made).collect())
+
+
+def test_stage_hands_on_columns_named_like_results(spark, documents):
+    from corpus_pipeline import language as stage
+
+    wide = documents.select("*", F.lit("a").alias("accepted"), F.lit("b").alias("language"), F.lit("c").alias("document"))
+    got = stage(spark, wide, SMALL)
+    assert got.columns == wide.columns and got.count() == documents.count()
+    assert [tuple(r) for r in got.select("accepted", "language", "document").distinct().collect()] == [("a", "b", "c")]
+
+
+def test_posterior_equals_a_plain_loop(spark):
+    """Counts, smoothing and fusion over a small table, by loops over rows and languages."""
+    rows = [("aab ba", "x", "h1", "s"), ("abba aa", "x", "h1", "s"), ("ccc cdc", "y", "h1", "s"), ("dcc", "y", "h2", "s"), ("bab", None, "h3", "r"), ("q1", "x", "h2", "s")]
+    frame = spark.createDataFrame(rows, "text string, lang string, host string, suffix string")
+    model = language.fit(frame, F.col("text"), F.col("lang"))
+    assert model.languages == ["x", "y"]
+    scores, _ = model.scores(pa.array([r[0] for r in rows]))
+    first = [None if math.isnan(s[0]) else int(s[1] > s[0]) for s in scores]
+
+    def count(lang, *equal):
+        return sum(f == lang and all((r[i] or "") == v for i, v in equal) for f, r in zip(first, rows, strict=True))
+
+    kinds = len({r[1] or "" for f, r in zip(first, rows, strict=True) if f is not None}) + 1
+    want = []
+    for (_, lang, host, suffix), s in zip(rows, scores, strict=True):
+        logs = []
+        for k in (0, 1):
+            share = (count(k) + 1) / (count(0) + count(1) + 2)
+            for equal in (((3, suffix),), ((3, suffix), (2, host))):
+                total = count(0, *equal) + count(1, *equal)
+                if total:
+                    share = (count(k, *equal) + language.STRENGTH * share) / (total + language.STRENGTH)
+            said = math.log((count(k, (1, lang or "")) + 1) / (count(k) + kinds))
+            logs.append(s[k] + math.log(share) + said)
+        top = max(logs) if first[len(want)] is not None else None
+        want.append(0.0 if top is None else 1 / sum(math.exp(v - top) for v in logs))
+    found = language.identify(frame, model, F.col("text"), F.col("lang"), F.col("host"), F.col("suffix")).collect()
+    got = {(r.text, r.host): r.posterior for r in found}
+    for r, p in zip(rows, want, strict=True):
+        assert got[r[0], r[2]] == pytest.approx(p)
