@@ -13,6 +13,10 @@ from countersign.operators.assignments import (
     submit,
 )
 from countersign.operators.rosters import (
+    roster_counts,
+    roster_labels,
+    roster_left,
+    roster_names,
     roster_places,
     roster_remaining,
     roster_review,
@@ -72,7 +76,11 @@ __all__ = [
     "review_stats",
     "review_summary",
     "reviewer_labels",
+    "roster_counts",
     "roster_filter",
+    "roster_labels",
+    "roster_left",
+    "roster_names",
     "roster_places",
     "roster_remaining",
     "roster_review",

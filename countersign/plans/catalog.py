@@ -498,24 +498,28 @@ def _remaining_by_reviewer(spark, folder):
 # --- large rosters ---
 
 
-def _large_roster(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """State and roster with every user as a reviewer."""
+def _large_roster(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Latest labels, counts and roster with every user as a reviewer."""
     named = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    labels = t.submissions_by(t.events(spark, folder), named)
-    roster = op.roster_places(labels)
-    return op.roster_state(labels, roster, t.KEY), roster
+    given = t.submissions_by(t.events(spark, folder), named)
+    roster = op.roster_names(given)
+    labels = op.roster_labels(given, roster, t.KEY)
+    return labels, op.roster_counts(labels, roster, t.KEY), roster
 
 
 @query("large_roster")
 def _large_roster_review(spark, folder):
-    state, _ = _large_roster(spark, folder)
-    reviewed = op.roster_review(t.transactions(spark, folder), state, _open_gate(), t.KEY)
+    _, counts, _ = _large_roster(spark, folder)
+    reviewed = op.roster_review(t.transactions(spark, folder), counts, _open_gate(), t.KEY)
     return reviewed.select("tx_id", "given", "submitted", "conflict", "status")
 
 
 @query("large_roster_remaining")
 def _large_roster_remaining(spark, folder):
-    state, roster = _large_roster(spark, folder)
+    named = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    given = t.submissions_by(t.events(spark, folder), named)
+    roster = op.roster_places(given)
+    state = op.roster_state(given, roster, t.KEY)
     return op.roster_remaining(t.transactions(spark, folder), state, roster, _open_gate(), t.KEY)
 
 
