@@ -516,11 +516,8 @@ def _large_roster_review(spark, folder):
 
 @query("large_roster_remaining")
 def _large_roster_remaining(spark, folder):
-    named = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    given = t.submissions_by(t.events(spark, folder), named)
-    roster = op.roster_places(given)
-    state = op.roster_state(given, roster, t.KEY)
-    return op.roster_remaining(t.transactions(spark, folder), state, roster, _open_gate(), t.KEY)
+    labels, counts, roster = _large_roster(spark, folder)
+    return op.roster_left(t.transactions(spark, folder), labels, counts, roster, _open_gate(), t.KEY)
 
 
 # --- views -------------------------------------------------------------------

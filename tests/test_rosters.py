@@ -89,7 +89,7 @@ def test_labels_as_rows_equal_loops(spark, size):
         assert {r.reviewer: r.remaining for r in op.roster_left(tx, labels, counts, roster, F.lit(gate)).collect()} == left
 
 
-@pytest.mark.parametrize("name", ["large_roster"])
+@pytest.mark.parametrize("name", ["large_roster", "large_roster_remaining"])
 def test_a_roster_that_grows_with_the_labels(spark, tmp_path, name):
     """Nearly as many reviewers as labels, and one transaction labelled by a third of them."""
     users, kinds = 90_000, F.array(*map(F.lit, ("click", "view", "error")))
