@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from countersign import operators as op
 from countersign.plans.catalog import QUERIES
 from countersign.plans.oracle import ORACLE
+from tests.plans import plan_of
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 LABELS = "tx_id string, reviewer string, assignment string, ts timestamp, seq bigint"
@@ -112,3 +113,9 @@ def test_a_roster_that_grows_with_the_labels(spark, tmp_path, name):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     want = connection.sql(ORACLE[name]).fetchall()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) >= 40_000
+
+
+@pytest.mark.parametrize("name", ["large_roster", "large_roster_remaining"])
+def test_no_step_for_each_place(spark, name):
+    plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "bit_or" not in plan and "Generate" not in plan and "Window" not in plan
