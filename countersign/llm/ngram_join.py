@@ -8,8 +8,9 @@ summed per pair:
 2. Sets are dealt into size classes such that linked sets lie in the same or the next class. A
    class cuts the order into K fragments, K being the largest possible difference of a linked
    pair, plus one, plus a reserve: a linked pair agrees wholly on at least as many segments. Each
-   segment gives one key. Segments seen once are found by a counted shuffle of keys alone, kept
-   as a bitmap of fixed size, and never travel again.
+   segment gives one key. Keys travel once, packed by task into one array for each bucket of
+   keys; buckets are as many as the n-grams need, and inside its bucket a key that one set alone
+   has is left out. A set with fewer keys left than a link needs has no partner.
 3. Agreeing segments are summed per pair; a pair below the number that a link needs is dropped.
    In a group of more than ``PAIRED`` sets with one key nobody is paired up: its sets are tied to
    the least of them instead.
@@ -36,7 +37,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +44,12 @@ from .common import Words, bitmap, checkpointed, components, in_bitmap, mixed, s
 
 #: Groups up to this size are paired up and counted; larger ones are tied to their least member.
 PAIRED = 16
-#: Places of the bitmaps (as powers of two): of keys seen twice, and of sets to compare.
-KEY_BITS, SET_BITS = 28, 23
+#: N-grams to a bucket of keys, and postings that a task holds before it hands them on.
+BUCKET_GRAMS, HELD_POSTINGS = 1 << 22, 1 << 21
+#: Bytes of a key inside its bucket.
+KEY_BYTES = 5
+#: Places of the bitmap of sets to compare (as powers of two): they follow the sets between these bounds.
+SET_BITS = 23, 28
 #: A block's share of sets and of n-grams.
 BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 19
 _FRAGMENT = 4096
@@ -145,55 +149,172 @@ def shingle_sets(documents: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(parts, "doc_id long, n_shingles long, set_key long")
 
 
-def _repeated_keys(texts: DataFrame, rule: Rule) -> np.ndarray:
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                flat, sizes, _ = _sets(piece, rule)
-                for found in _segment_keys(flat, sizes, rule):
-                    # The bitmap looks at the low bits alone, so only they travel.
-                    yield pa.RecordBatch.from_pydict({"key": found["key"].astype(np.int32)})
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((keys >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+
+
+def _packed(keys: np.ndarray) -> np.ndarray:
+    """The low ``KEY_BYTES`` bytes of each key."""
+    return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
+_OWN, _LOWER, _SIZES = 0, 1, 2
+_POSTED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
+
+
+def _posted(batches: Iterator[pa.RecordBatch], rule: Rule, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Keys of all sets by bucket, as arrays; of kind ``_SIZES``: n-grams and empty segments of the sets."""
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+    seen: set[int] = set()  # one task's input is a bounded part of a file
+    size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for kind, parts in enumerate(held):
+            if not parts:
+                continue
+            keys, sets = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            bucket = _bucket(sets if kind == _SIZES else keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, keys, sets = bucket[order], keys[order], sets[order]
+            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(at[1:], len(bucket))
+            keys = keys.view(np.uint8).reshape(-1, 8) if kind == _SIZES else _packed(keys)
+            for i in range(0, len(at), 64):
+                cut = list(zip(at[i : i + 64], ends[i : i + 64], strict=True))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "bucket": bucket[at[i : i + 64]].astype(np.int32),
+                        "kind": np.full(len(cut), kind, np.int32),
+                        "keys": [keys[x:y].tobytes() for x, y in cut],
+                        "sets": [sets[x:y].tobytes() for x, y in cut],
+                    },
+                    schema=_POSTED,
+                )
 
-    keys = texts.mapInArrow(parts, "key int")
-    return bitmap(keys.groupBy("key").count().where("count > 1").select("key"), KEY_BITS)
+    for batch in batches:
+        for piece in slices(batch, "text"):
+            flat, sizes, sets = _sets(piece, rule)
+            new = np.zeros(len(sizes), bool)
+            for d in np.flatnonzero(sizes > 0):
+                if sets[d] not in seen:
+                    seen.add(int(sets[d]))
+                    new[d] = True
+            flat, sets = flat[np.repeat(new, sizes)], sets[new].view(_U)
+            sizes = sizes[new]
+            for found in _segment_keys(flat, sizes, rule):
+                doc, own = found["doc"], bool(found["own"][0])
+                held[_OWN if own else _LOWER].append((found["key"].view(_U), sets[doc]))
+                each, first = np.unique(doc, return_index=True)
+                told = sizes[each].astype(_U) << _U(32) | found["empty"][first].astype(_U) << _U(1) | _U(own)
+                held[_SIZES].append((told, sets[each]))
+                size += len(doc)
+            if size >= HELD_POSTINGS:
+                yield from rows()
+                size = 0
+    yield from rows()
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Of each bucket the keys that more than one set has, with these sets; and what is told of sets."""
+    bounds, differ, reserve = rule.bounds(), rule.differ(), rule.reserve()
+    bucket: int | None = None
+    held: list[list[tuple[bytes, bytes]]] = [[], [], []]
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        keys = [_unpacked(b"".join(k for k, _ in held[kind])) for kind in (_OWN, _LOWER)]
+        sets = [np.frombuffer(b"".join(x for _, x in held[kind]), np.int64) for kind in (_OWN, _LOWER)]
+        own = np.repeat([True, False], [len(k) for k in keys])
+        key, of = np.concatenate(keys), np.concatenate(sets)
+        order = np.argsort(key)
+        same = np.diff(key[order]) == 0
+        twice = np.zeros(len(key), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        order = order[twice]
+        key, of, own = key[order], of[order], own[order]
+        order = np.lexsort((of, key))
+        key, of, own = key[order], of[order], own[order]
+        starts = np.ones(len(key), bool)
+        starts[1:] = key[1:] != key[:-1]
+        once = starts.copy()
+        once[1:] |= of[1:] != of[:-1]
+        group = np.cumsum(starts) - 1
+        once &= np.bincount(group[once], minlength=len(group))[group] > 1
+        key = key[once] | _U(bucket) << _U(8 * KEY_BYTES)
+        yield from _sliced({"key": key.view(np.int64), "set_key": of[once], "own": own[once]})
+        told = np.frombuffer(b"".join(k for k, _ in held[_SIZES]), _U)
+        of = np.frombuffer(b"".join(x for _, x in held[_SIZES]), np.int64)
+        order = np.lexsort((told & _U(1), of))
+        told, of = told[order], of[order]
+        once = np.ones(len(of), bool)
+        once[1:] = (of[1:] != of[:-1]) | (told[1:] != told[:-1])
+        told, of = told[once], of[once]
+        n, own = (told >> _U(32)).astype(np.int64), told & _U(1) == 1
+        empty = (told >> _U(1) & _U(0x7FFFFFFF)).astype(np.int64)
+        level = np.searchsorted(bounds, n, "right") - 1 - ~own
+        parts = differ[level] + 1 + reserve[level]
+        # Most n-grams that the set and any partner in this class have apart.
+        apart = np.where(own, n * (rule.den - rule.num) // rule.num, 2 * n * (rule.den - rule.num) // (rule.den + rule.num))
+        yield from _sliced(
+            {"set_key": of, "own": own, "n": n, "empty": empty, "level": level, "parts": parts, "needed": parts - apart - empty}
+        )
+
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("bucket", "kind", "keys", "sets"))
+        for at, kind, keys, sets in zip(*columns, strict=True):
+            if at != bucket:
+                if bucket is not None:
+                    yield from rows()
+                bucket, held = at, [[], [], []]
+            held[kind].append((keys, sets))
+    if bucket is not None:
+        yield from rows()
+
+
+_FOUND = pa.schema(
+    [(c, pa.bool_() if c == "own" else pa.int64()) for c in ("key", "set_key", "own", "n", "empty", "level", "parts", "needed")]
+)
+
+
+def _sliced(columns: dict[str, np.ndarray], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    length = len(columns["set_key"])
+    for i in range(0, length, rows):
+        part = {name: pa.array(x[i : i + rows]) for name, x in columns.items()}
+        size = min(rows, length - i)
+        yield pa.RecordBatch.from_arrays([part[f.name] if f.name in part else pa.nulls(size, f.type) for f in _FOUND], schema=_FOUND)
 
 
-def _members(texts: DataFrame, rule: Rule, repeated: Broadcast) -> DataFrame:
-    """Sets with each of their keys that occurs elsewhere too.
+def _members(texts: DataFrame, rule: Rule, grams: int) -> DataFrame:
+    """Sets with each of their keys that another set has too.
 
     A set with fewer such keys than a link needs has no partner and is left out, so that a
     passage which many documents share does not tie them together.
     """
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = repeated.value
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                flat, sizes, sets = _sets(piece, rule)
-                for found in _segment_keys(flat, sizes, rule):
-                    doc = found.pop("doc")
-                    keep = in_bitmap(found["key"], held, KEY_BITS)
-                    # Most n-grams that the document and any partner in this class have apart.
-                    own = sizes[doc] * (rule.den - rule.num) // rule.num
-                    apart = np.where(found["own"], own, 2 * sizes[doc] * (rule.den - rule.num) // (rule.den + rule.num))
-                    needed = found["parts"] - apart - found["empty"]
-                    keep &= np.bincount(doc[keep], minlength=len(sizes))[doc] >= needed
-                    doc = doc[keep]
-                    rows = {name: column[keep] for name, column in found.items()}
-                    yield pa.RecordBatch.from_pydict(rows | {"set_key": sets[doc], "n": sizes[doc]})
-
-    rows = texts.mapInArrow(
-        parts, "key long, level long, own boolean, parts long, empty long, set_key long, n long"
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-grams // BUCKET_GRAMS))
+    posted = texts.mapInArrow(lambda batches: _posted(batches, rule, buckets), "bucket int, kind int, keys binary, sets binary")
+    found = posted.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        lambda batches: _repeated(batches, rule),
+        "key long, set_key long, own boolean, n long, empty long, level long, parts long, needed long",
     )
-    return rows.dropDuplicates(["key", "set_key"])
+    found = written(found, "keys")
+    keys = found.where("key is not null").select("key", "set_key", "own")
+    left = keys.groupBy("set_key", "own").agg(F.count("*").alias("left"))
+    kept = found.where("key is null").drop("key").join(left, ["set_key", "own"]).where("left >= needed").drop("left", "needed")
+    return keys.join(kept, ["set_key", "own"])
 
 
-def candidate_edges(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of set keys such that linked sets hang together."""
-    repeated = texts.sparkSession.sparkContext.broadcast(_repeated_keys(texts, rule))
+def candidate_edges(texts: DataFrame, rule: Rule, grams: int) -> DataFrame:
+    """Pairs (a, b) of set keys such that linked sets hang together; ``grams`` is the texts' number of n-grams."""
     # Read by three branches below; written once, the texts are not cut up for each.
-    members = written(_members(texts, rule, repeated), "members")
-    repeated.destroy()
+    members = written(_members(texts, rule, grams), "members")
     groups = members.groupBy("key").agg(F.count("*").alias("size"), F.min("set_key").alias("least")).where("size > 1")
     rows = members.join(groups, "key")
     stars = rows.where((F.col("size") > PAIRED) & (F.col("set_key") != F.col("least"))).select(
@@ -261,8 +382,10 @@ def _compared(a: list[tuple], b: list[tuple], rule: Rule) -> Iterator[tuple[int,
 
 
 def links(texts: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between sets of one cluster (node, root), as spanning forests of its blocks."""
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(clusters.select(F.col("node").alias("key")), SET_BITS))
+    """Links (a, b) between sets of one cluster (node, root, n), as spanning forests of its blocks."""
+    # A set that only falls on a place by chance travels in vain, so places follow the sets.
+    bits = min(max(SET_BITS[0], (64 * clusters.count()).bit_length()), SET_BITS[1])
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(clusters.select(F.col("node").alias("key")), bits))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = wanted.value, set()
@@ -271,26 +394,19 @@ def links(texts: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
                 flat, sizes, keys = _sets(piece, rule)
                 first = np.concatenate([[0], np.cumsum(sizes)])
                 out = []
-                for d in np.flatnonzero(in_bitmap(keys, held, SET_BITS) & (sizes > 0)):
+                for d in np.flatnonzero(in_bitmap(keys, held, bits) & (sizes > 0)):
                     if keys[d] not in seen:
                         seen.add(keys[d])  # one task's input is a bounded part of a file
                         out.append(d)
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "node": keys[out],
-                        "n": sizes[out],
-                        "grams": [flat[first[d] : first[d + 1]].tobytes() for d in out],
-                    },
-                    schema=pa.schema([("node", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())]),
+                    {"node": keys[out], "grams": [flat[first[d] : first[d + 1]].tobytes() for d in out]},
+                    schema=pa.schema([("node", pa.int64()), ("grams", pa.binary())]),
                 )
 
-    rows = texts.mapInArrow(sets, "node long, n long, grams binary")
-    # One shuffle by set serves the join and the removal of sets that several tasks gave.
-    rows = rows.join(clusters, "node").dropDuplicates(["node"])
+    # The blocks follow from the sets' sizes, so the n-grams travel to their set and to its blocks only.
     width = 1.001 * float(np.log(rule.den / rule.num))
-    rows = rows.withColumn("band", F.floor(F.log("n") / width))
-    rows = checkpointed(rows)
-    whole = rows.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    clusters = clusters.withColumn("band", F.floor(F.log("n") / width))
+    whole = clusters.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     blocks = whole.select(
         "root",
         "band",
@@ -299,7 +415,7 @@ def links(texts: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
     above = blocks.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = blocks.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     dealt = blocks.join(above, ["root", "band"], "left").join(below, ["root", "band"], "left").na.fill(0)
-    placed = rows.join(dealt, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = clusters.join(dealt, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     groups = F.expr(
         """concat(
           transform(sequence(0L, blocks - 1), j -> struct(band as low, band as high, least(block, j) as i,
@@ -309,7 +425,11 @@ def links(texts: DataFrame, clusters: DataFrame, rule: Rule) -> DataFrame:
           if(below > 0, transform(sequence(0L, greatest(below, 1L) - 1),
              j -> struct(band - 1 as low, band as high, j as i, block as j, 1 as side)), array()))"""
     )
-    spread = placed.select("root", "node", "grams", F.explode(groups).alias("g")).select(
+    placed = checkpointed(placed.select("root", "node", "band", "block", "blocks", "above", "below"))
+    rows = texts.mapInArrow(sets, "node long, grams binary").join(placed, "node")
+    # One shuffle by set serves the join and the removal of sets that several tasks gave.
+    rows = rows.dropDuplicates(["node"])
+    spread = rows.select("root", "node", "grams", F.explode(groups).alias("g")).select(
         F.xxhash64("root", "g.low", "g.high", "g.i", "g.j").alias("group"), "g.side", "node", "grams"
     )
     return spread.repartition("group").sortWithinPartitions("group").mapInArrow(
@@ -360,7 +480,9 @@ def grouped(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B0
     """
     texts = documents.select("doc_id", "text")
     base = checkpointed(shingle_sets(texts, rule))
-    clusters = checkpointed(components(candidate_edges(texts, rule)))
+    sizes = base.where("n_shingles > 0").groupBy(F.col("set_key").alias("node")).agg(F.min("n_shingles").alias("n"))
+    grams = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    clusters = checkpointed(components(candidate_edges(texts, rule, grams)).join(sizes, "node"))
     roots = components(links(texts, clusters, rule))
     firsts = base.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     labelled = firsts.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(

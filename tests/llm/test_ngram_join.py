@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from countersign.llm import ngram_join
@@ -92,3 +93,45 @@ def test_linked_sets_agree_on_enough_segments():
                     for key, doc, level in zip(found["key"], found["doc"], found["level"], strict=True):
                         keys[level][doc].add(key)
                 assert any(x & y for x, y in keys.values())
+
+
+def test_keys_that_one_set_alone_has_are_left_out_whatever_their_number(monkeypatch):
+    """Copies of a set are one set, tasks hand on bounded arrays, and no table of fixed size fills up."""
+    monkeypatch.setattr(ngram_join, "HELD_POSTINGS", 500)
+    rng, rule = random.Random(4), Rule()
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = [text(rng.randrange(20, 120)) for _ in range(60)]
+    near = [t + " " + text(1) for t in texts[:10]]
+    given = [texts + near, texts[5:] + [None, "", "a b"] + texts[:30]]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(x, pa.string())}) for x in given]
+    tasks = [[batch.slice(0, 30), batch.slice(30)] for batch in batches]
+    posted = [row for task in tasks for b in ngram_join._posted(iter(task), rule, 7) for row in b.to_pylist()]
+    assert {r["bucket"] for r in posted} == set(range(7)) and len(posted) > 2 * 7 * 3
+    posted.sort(key=lambda r: r["bucket"])
+    found = ngram_join._repeated(iter([pa.RecordBatch.from_pylist(posted, ngram_join._POSTED)]), rule)
+    rows = [row for b in found for row in b.to_pylist()]
+
+    want = defaultdict(set)
+    for batch in batches:
+        flat, sizes, sets = ngram_join._sets(batch, rule)
+        for keys in ngram_join._segment_keys(flat, sizes, rule):
+            for key, doc, own in zip(keys["key"], keys["doc"], keys["own"], strict=True):
+                want[int(key)].add((int(sets[doc]), bool(own)))
+    got = defaultdict(set)
+    for r in rows:
+        if r["key"] is not None:
+            got[r["key"]].add((r["set_key"], r["own"]))
+    shared = [x for x in want.values() if len({s for s, _ in x}) > 1]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, shared)) and len(shared) > 20
+    told = [(r["set_key"], r["own"]) for r in rows if r["key"] is None]
+    assert len(told) == len(set(told)) == len({x for sets in want.values() for x in sets})
+    # What travels is a few bytes a key, and the copies of one task are handed on once.
+    bytes_ = sum(len(r["keys"]) + len(r["sets"]) for r in posted if r["kind"] != ngram_join._SIZES)
+    assert bytes_ <= 13 * 2 * sum(len(x) for x in want.values())
+
+
+def test_exact_copies_share_no_key_with_another_set(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(40)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string").repartition(4)
+    assert ngram_join._members(frame.select("doc_id", "text"), Rule(), 40 * 76).count() == 0
