@@ -96,3 +96,52 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count() and by[2].n_tokens == by[3].n_tokens == by[4].n_tokens == 1
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert class_lm.score_documents(none).count() == 0
+
+
+@pytest.mark.parametrize("common", [300, 5000])
+def test_every_word_has_the_class_of_its_own_neighbours(documents, monkeypatch, common):
+    """Classes, class bigrams and scores against plain loops, for words that are sent and for those that are joined."""
+    monkeypatch.setattr(class_lm, "SENT_WORDS", common)
+    texts = documents.where("n_chars < 2000").select("doc_id", "text", class_lm.held_out(F.col("doc_id")).alias("held_out"))
+    model, k = class_lm.fit(texts), class_lm.CLASSES
+    docs = [(r.doc_id, r.held_out, [word_hash(w) for w in plain(r.text)]) for r in texts.collect()]
+    got = {r.word % 2**64: r["class"] for r in model.vocabulary.collect()}
+    ending = {r.word % 2**64: r.ending for r in model.vocabulary.collect()}
+    train = [t for _, held, t in docs if not held]
+    counts = Counter(w for t in train for w in t)
+    assert set(got) == set(counts) and len(counts) > 5000
+    head = sorted(counts, key=lambda w: (-counts[w], w - 2**64 * (w >= 2**63)))[: min(class_lm.UNITS, common)]
+    first = class_lm.exchange(class_lm.bigram_counts(texts, class_lm.Lookup(np.array(head, np.uint64), np.arange(len(head)))))
+    unit = {w: first[class_lm.UNITS + ending[w]] for w in counts} | {w: first[i] for i, w in enumerate(head)} | {None: first[-1]}
+    pairs, around = np.zeros((k, k)), {w: (np.zeros(k), np.zeros(k)) for w in counts}
+    for t in train:
+        for old, now in zip([None, *t], [*t, None], strict=True):
+            pairs[unit[old], unit[now]] += 1
+            if now is not None:
+                around[now][0][unit[old]] += 1
+            if old is not None:
+                around[old][1][unit[now]] += 1
+    after = np.log((pairs + class_lm.ALPHA) / (pairs.sum(axis=1, keepdims=True) + class_lm.ALPHA * k))
+    with np.errstate(divide="ignore"):
+        size = np.where(pairs.sum(axis=0) > 0, np.log(pairs.sum(axis=0)), np.inf)
+    for i, w in enumerate(head):
+        assert got[w] == first[i]
+    for w in set(counts) - set(head):
+        gain = around[w][0] @ after + after @ around[w][1] - counts[w] * size
+        assert gain[got[w]] == pytest.approx(gain.max(), abs=2e-6)
+    assert len({got[w] for w in counts if ending[w] == ending[head[0]]}) > 3
+
+    of, final, held = got | {None: first[-1]}, np.zeros((k, k)), 0
+    for t in train:
+        np.add.at(final, ([of[w] for w in [None, *t]], [of[w] for w in [*t, None]]), 1)
+    assert np.allclose(10**model.transition, (final + class_lm.ALPHA) / (final.sum(axis=1, keepdims=True) + class_lm.ALPHA * k))
+    scores = {r.doc_id: r for r in class_lm.score(texts, model).collect()}
+    for i, _, t in docs:
+        t = [(of.get(w), counts[w]) for w in t]
+        if any(c is None for c, _ in t):
+            held += 1
+            continue
+        classes, n = [first[-1], *(c for c, _ in t), first[-1]], [c for _, c in t] + [len(train)]
+        want = sum(model.transition[a, b] + model.emission[b] + math.log10(c + 1) for a, b, c in zip(classes, classes[1:], n, strict=False))
+        assert scores[i].score == pytest.approx(want, rel=1e-9) and scores[i].n_known == len(n)
+    assert held < len(docs) / 2
